@@ -89,7 +89,7 @@ def next_page_url(url: Column, href: Column | None = None) -> Column:
     """
     pairs = F.filter(
         F.split(F.substring(_query(url), 2, 2**31 - 1), "&"),
-        lambda pair: pair.rlike("^[^=]*=[^=]|^[^=]*=="),
+        lambda pair: pair.rlike("(?s)^[^=]*=."),
     )
     decoded = F.transform(pairs, lambda pair: F.struct(
         _decode(F.substring_index(pair, "=", 1)).alias("k"),

@@ -185,14 +185,14 @@ def _rounds(keys: DataFrame, scope: list[str], order: list[str], group_rows: int
         first_pair = keep_first(open_rows, [*scope, "_pair"], order)
         won = reliable_checkpoint(_only(first_pair, first_id, where))
         kept = won if kept is None else kept.unionByName(won)
-        open_rows = _drop_sharing(open_rows, won, [*scope, "review_id"], order)
+        open_rows = drop_sharing(open_rows, won, [*scope, "review_id"], order)
         open_rows = reliable_checkpoint(
-            _drop_sharing(open_rows, won, [*scope, "_pair"], order))
+            drop_sharing(open_rows, won, [*scope, "_pair"], order))
         if _large_scopes(open_rows, scope, group_rows).isEmpty():
             return kept.unionByName(_ordered_pass(open_rows, scope, order))
 
 
-def _drop_sharing(rows: DataFrame, won: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def drop_sharing(rows: DataFrame, won: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows sharing no key with a winner; a hot key is spread over salts."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALT)).cast("int"))
     winners = won.select(*keys).filter(F.col(keys[-1]).isNotNull() & (F.col(keys[-1]) != ""))
