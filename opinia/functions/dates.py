@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from opinia.constants import (
     MONTHS_DE, MONTHS_EN, MONTHS_ES, MONTHS_FR, MONTHS_IT, MONTHS_NL,
 )
-from opinia.functions.text import SPACE, WORD, let, strip
-
-_DAY_FR = rf"(\d{{1,2}}|1er){SPACE}+({WORD}+){SPACE}+(\d{{4}})"
-_LE_DAY_FR = rf"le{SPACE}+{_DAY_FR}"
-_SLASHED = r"(\d{1,2})/(\d{1,2})/(\d{4})"
-_ISO = r"(\d{4})-(\d{1,2})-(\d{1,2})"
-_DAY_MONTH = rf"(\d{{1,2}}){SPACE}+({WORD}+){SPACE}+(\d{{4}})"
-_MONTH_DAY = rf"({WORD}+){SPACE}+(\d{{1,2}}),{SPACE}*(\d{{4}})"
-_DAY_DE_MONTH = rf"(\d{{1,2}}){SPACE}+de{SPACE}+({WORD}+){SPACE}+de{SPACE}+(\d{{4}})"
-_DAY_DOT_MONTH = rf"(\d{{1,2}})(?:[.|]|{SPACE})+({WORD}+){SPACE}+(\d{{4}})"
-_NUMERIC = r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
+from opinia.functions.text import SPACE, WORD, let
+
+_DAY = "([0-9]{1,2})"
+_YEAR = "([0-9]{4})"
+# Possessive: a word and the space after it share no character.
+_NAME = rf"({WORD}++)"
+_DAY_FR = rf"(?U)([0-9]{{1,2}}|1er){SPACE}+{_NAME}{SPACE}+{_YEAR}"
+_LE_DAY_FR = rf"(?U)le{SPACE}+([0-9]{{1,2}}|1er){SPACE}+{_NAME}{SPACE}+{_YEAR}"
+_SLASHED = rf"{_DAY}/{_DAY}/{_YEAR}"
+_ISO = rf"{_YEAR}-{_DAY}-{_DAY}"
+_DAY_MONTH = rf"(?U){_DAY}{SPACE}+{_NAME}{SPACE}+{_YEAR}"
+_MONTH_DAY = rf"(?U){_NAME}{SPACE}+{_DAY},{SPACE}*{_YEAR}"
+_DAY_DE_MONTH = rf"(?U){_DAY}{SPACE}+de{SPACE}+{_NAME}{SPACE}+de{SPACE}+{_YEAR}"
+_DAY_DOT_MONTH = rf"(?U){_DAY}[.|\s\x1c-\x1f]+{_NAME}{SPACE}+{_YEAR}"
+_NUMERIC = rf"{_DAY}[./-]{_DAY}[./-]{_YEAR}"
 
 
 def normalize_date_fr(text: Column) -> Column:
@@ -50,7 +54,7 @@ def normalize_date(text: Column) -> Column:
             ),
         )
 
-    return let(F.lower(strip(text)), forms)
+    return let(F.lower(text), forms)
 
 
 def _french(low: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Page predicates and page-level numbers (Column -> Column)."""
+"""Page predicates and page-level numbers (Column -> Column).
+
+A page is lowered once per test (`let`): filters do not share subexpressions.
+"""
 
 from __future__ import annotations
 
@@ -11,31 +14,31 @@ from pyspark.sql import functions as F
 from opinia.constants import (
     CHALLENGE_MARKERS, ERROR_MARKERS, LOGIN_MARKERS, SIGN_IN_INVITATIONS,
 )
-from opinia.functions.text import localized_int
+from opinia.functions.text import let, localized_int
 
 USABLE_STATUS = ("ok", "error")
 
 
 def is_challenge(html: Column) -> Column:
-    return _mentions(F.lower(html), CHALLENGE_MARKERS)
+    return let(F.lower(html), lambda low: _mentions(low, CHALLENGE_MARKERS))
 
 
 def is_error(html: Column) -> Column:
-    return _mentions(F.lower(html), ERROR_MARKERS)
+    return let(F.lower(html), lambda low: _mentions(low, ERROR_MARKERS))
 
 
 def is_login(html: Column) -> Column:
-    return _mentions(F.lower(html), LOGIN_MARKERS)
+    return let(F.lower(html), lambda low: _mentions(low, LOGIN_MARKERS))
 
 
 def page_status(html: Column) -> Column:
     """'challenge', 'login', 'error' or 'ok'; only the first two are rejected."""
-    return (
-        F.when(is_challenge(html), F.lit("challenge"))
-        .when(is_login(html), F.lit("login"))
-        .when(is_error(html), F.lit("error"))
+    return let(F.lower(html), lambda low: (
+        F.when(_mentions(low, CHALLENGE_MARKERS), F.lit("challenge"))
+        .when(_mentions(low, LOGIN_MARKERS), F.lit("login"))
+        .when(_mentions(low, ERROR_MARKERS), F.lit("error"))
         .otherwise(F.lit("ok"))
-    )
+    ))
 
 
 def is_signed_out(html: Column, account_text: Column) -> Column:

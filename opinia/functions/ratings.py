@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opinia.constants import NEGATIVE, NEUTRAL, POSITIVE
-from opinia.functions.text import SPACE
+from opinia.functions.text import NUMBER, SPACE
 
 
 def normalize_rating(text: Column) -> Column:
@@ -20,12 +20,12 @@ def normalize_rating(text: Column) -> Column:
         value = F.replace(source, F.lit(","), F.lit(".")).try_cast("double")
         return F.when(value.between(1.0, 5.0), value)
 
-    first_number = F.regexp_extract(text, r"(\d+(?:[.,]\d+)?)", 1)
+    first_number = F.regexp_extract(text, r"([0-9]+(?:[.,][0-9]+)?)", 1)
     return F.coalesce(
-        number(F.regexp_extract(text, rf"(\d+[.,]\d+){SPACE}*sur{SPACE}*5", 1)),
-        number(F.regexp_extract(text, r"(\d+[.,]\d+)", 1)),
+        number(F.regexp_extract(text, rf"(?U)({NUMBER}+[.,]{NUMBER}+){SPACE}*sur{SPACE}*5", 1)),
+        number(F.regexp_extract(text, r"([0-9]+[.,][0-9]+)", 1)),
         # A whole number "sur 5": the value is the first number of the text.
-        F.when(text.rlike(rf"\d{SPACE}*sur{SPACE}*5"), number(first_number)),
+        F.when(text.rlike(rf"(?U){NUMBER}{SPACE}*sur{SPACE}*5"), number(first_number)),
         F.when(text.rlike(r"^[1-5](?:[.,]0)?\n?\z"), number(first_number)),
     )
 

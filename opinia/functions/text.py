@@ -1,8 +1,7 @@
 """Text, vote, badge and key normalisers (Column -> Column).
 
-Patterns spell the Unicode white space out instead of using the `(?U)` flag:
-the class then also covers U+001C-U+001F, and needs no flag lookups per char.
-Digits are ASCII.
+Patterns carry `(?U)` so that white space is Unicode white space, to which
+`SPACE` adds U+001C-U+001F.  Digits are ASCII.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WIDE_SPACE = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-SPACE = rf"[\x09-\x0d\x1c-\x20\x85\xa0{_WIDE_SPACE}]"
+SPACE = r"[\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
-_CONTROL_OR_SPACE = rf"[\x00-\x20\x7f-\xa0{_WIDE_SPACE}]+"
+NUMBER = "[0-9]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,22 +23,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 
 
 def clean_text(text: Column) -> Column:
     """Control characters and white space become single spaces; NULL becomes ''."""
-    return F.coalesce(F.trim(F.regexp_replace(text, _CONTROL_OR_SPACE, " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(text, r"(?U)[\s\p{Cc}]+", " ")), F.lit(""))
 
 
 def normalize_helpful_votes(text: Column) -> Column:
     """First count found by the most specific phrase; 0 when there is none."""
     low = F.lower(text)
     phrases = (
-        rf"(\d+){SPACE}+personnes?{SPACE}+ont{SPACE}+trouvé{SPACE}+cela{SPACE}+utile",
-        rf"(\d+){SPACE}+people?{SPACE}+found{SPACE}+this{SPACE}+helpful",
-        rf"(\d+){SPACE}+utile",
-        r"(\d+)",
+        rf"(?U)({NUMBER}+){SPACE}+personnes?{SPACE}+ont{SPACE}+trouvé{SPACE}+cela{SPACE}+utile",
+        rf"(?U)({NUMBER}+){SPACE}+people?{SPACE}+found{SPACE}+this{SPACE}+helpful",
+        rf"(?U)({NUMBER}+){SPACE}+utile",
+        rf"({NUMBER}+)",
     )
     found = [F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in phrases]
     return F.coalesce(F.coalesce(*found).try_cast("int"), F.lit(0))
@@ -55,13 +53,13 @@ def normalize_verified_purchase(text: Column) -> Column:
 
 def strip_rating_from_title(text: Column) -> Column:
     """Drop a leading star mention (French, then English) and star symbols."""
-    lead = rf"(?iu)^{SPACE}*\d+[.,]?\d*{SPACE}*"
+    lead = rf"(?iuU)^{SPACE}*{NUMBER}+[.,]?{NUMBER}*{SPACE}*"
     tail = rf"{SPACE}*[-–—]*{SPACE}*"
     bare = F.regexp_replace(text, rf"{lead}sur{SPACE}*5{SPACE}*étoiles?{tail}", "")
     bare = F.regexp_replace(
         bare, rf"{lead}out{SPACE}*of{SPACE}*5{SPACE}*stars?{tail}", "")
     # The symbols may stand among white space, so strip both together.
-    return clean_text(F.regexp_replace(bare, rf"^(?:[★☆]|{SPACE})+", ""))
+    return clean_text(F.regexp_replace(bare, r"(?U)^[★☆\s\x1c-\x1f]+", ""))
 
 
 def canonical_review_id(title: Column, body: Column) -> Column:
@@ -77,7 +75,8 @@ def content_key(title: Column, body: Column, author: Column, date: Column,
         clean_text(author),
         F.coalesce(date, F.lit("")),
         # A zero rating counts as none.
-        F.coalesce(F.when(rating != 0, rating.cast("string")), F.lit("")),
+        F.coalesce(F.when(F.coalesce(rating.try_cast("double"), F.lit(1.0)) != 0,
+                          rating.cast("string")), F.lit("")),
         clean_text(variant),
     )
     return F.when((t != "") | (b != ""), _text_hash(t, b)).otherwise(facts)
@@ -98,7 +97,7 @@ def localized_int(text: Column, nbsp: bool = True) -> Column:
     number grouped by them is NULL.
     """
     source = F.translate(text, "\N{NO-BREAK SPACE}\N{NARROW NO-BREAK SPACE}", "  ") if nbsp else text
-    number = F.regexp_extract(source, rf"(\d(?:[\d.,]|{SPACE})*)", 1)
+    number = F.regexp_extract(source, r"(?U)([0-9][0-9.,\s\x1c-\x1f]*)", 1)
     return strip(F.translate(number, " .,", "")).try_cast("bigint")
 
 

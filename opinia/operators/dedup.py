@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinia.functions.text import canonical_review_id, content_key, content_pair
+from opinia.functions.text import canonical_review_id, content_key, content_pair, let
 from opinia.functions.urls import review_id_from_url
 from opinia.operators.ranking import keep_first
 from opinia.sources.scratch import reliable_checkpoint
@@ -54,7 +54,9 @@ def dedup_page_blocks(blocks: Column, title: callable) -> Column:
         content_pair(title(b["title"]), b["body"]).alias("pair"),
         b.alias("block"),
     ))
-    return _first_by(_first_by(keyed, "review_id"), "pair")
+    # Bound step by step, or each reference would evaluate the hashes again.
+    return let(keyed, lambda rows: let(
+        _first_by(rows, "review_id"), lambda unique: _first_by(unique, "pair")))
 
 
 def dedup_cross_page(df: DataFrame, scope: list[str], order: list[str],
@@ -109,8 +111,8 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, order: list[str]) -> D
 
 
 def _first_by(keyed: Column, field: str) -> Column:
-    seen = F.transform(keyed, lambda k: k[field])
-    return F.filter(keyed, lambda k, i: F.array_position(seen, k[field]) == i + 1)
+    return let(F.transform(keyed, lambda k: k[field]), lambda seen: F.filter(
+        keyed, lambda k, i: F.array_position(seen, k[field]) == i + 1))
 
 
 def _large_scopes(keys: DataFrame, scope: list[str], group_rows: int) -> DataFrame:

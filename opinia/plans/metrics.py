@@ -27,7 +27,7 @@ def page_runs(extracted: DataFrame, kept: DataFrame, saved: DataFrame | None = N
     stored = _per_page(kept if saved is None else saved, "saved", at)
     pages = extracted.select(
         *at,
-        F.round((F.col("finished_at").cast("double") - F.col("started_at").cast("double")), 2)
+        F.round((F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6, 2)
         .alias("duration_s"),
         (has_next() & F.col("error").isNull()).alias("next"),
         "error",

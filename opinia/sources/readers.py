@@ -17,6 +17,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a frame read from too few file splits one partition per core.
+
+    A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
     """A folder of saved pages, one document per file."""
     return (spark.read.text(path, wholetext=True)

@@ -18,7 +18,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def _normal(frame: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return ""
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))

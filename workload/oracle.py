@@ -315,7 +315,7 @@ EVENTS = f"""runs AS (
     {pick(STARS, 'event_id % 6')} AS star_filter, CAST(event_id + 1 AS INT) AS page,
     CAST(CASE WHEN failed THEN 0 ELSE floor(value) + 2 END AS BIGINT) AS reviews_parsed,
     CAST(CASE WHEN failed THEN 0 ELSE floor(value) END AS BIGINT) AS saved,
-    round(value / 10, 2) AS duration_s, NOT failed AND event_id % 5 <> 0 AS next,
+    value AS duration_s, NOT failed AND event_id % 5 <> 0 AS next,
     CASE WHEN failed THEN 'timeout ' || CAST(event_id % 7 AS VARCHAR) END AS error,
     CASE WHEN NOT failed AND event_id % 4 = 0 THEN event_id % 5000 END AS total_reviews_header,
     CASE WHEN NOT failed AND event_id % 9 = 0 THEN event_id % 7000 END

@@ -47,7 +47,8 @@ def c(name: str):
 
 @query
 def clean_text_docs(spark, sf_dir):
-    return derive.table(spark, sf_dir, "documents").select(
+    documents = readers.spread(derive.table(spark, sf_dir, "documents"), "doc_id")
+    return documents.select(
         "doc_id", text.clean_text(c("text")).alias("value"))
 
 
@@ -512,6 +513,10 @@ def migrate_metrics(spark, sf_dir):
         c("title").alias("review_title")))
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
 @query
 def import_alias_dedup(spark, sf_dir):
     """Write reviews under other column names, import the files and deduplicate."""
@@ -522,7 +527,7 @@ def import_alias_dedup(spark, sf_dir):
         c("review_date").alias("date"), c("rating").cast("string").alias("stars"), "variant")
     path = sinks.write_rows(renamed, scratch_path(spark, "import"), "csv")
     imported = readers.canonical_columns(
-        readers.read_review_csv(spark, path, renamed.schema.simpleString()[7:-1]))
+        readers.read_review_csv(spark, path, _ddl(renamed)))
     unique = dedup.dedup_two_pass(imported, ORD)
     texts = ["review_title", "review_body", "reviewer_name", "rating", "variant"]
     return unique.select(*KEY, "review_id", "review_date",
@@ -533,7 +538,7 @@ def _exported(spark, sf_dir, fmt: str) -> DataFrame:
     table = _reviews_table(spark, sf_dir).drop("created_at", "updated_at").withColumn(
         "created_at", F.lit(0))
     path = sinks.export_reviews(table, scratch_path(spark, "export"), fmt)
-    back = (readers.read_review_csv(spark, path, table.schema.simpleString()[7:-1])
+    back = (readers.read_review_csv(spark, path, _ddl(table))
             if fmt == "csv" else spark.read.parquet(path))
     texts = {"review_title", "review_body", "reviewer_name", "variant"}
     return back.select("id", "asin", "domain", "canonical_product_url",
