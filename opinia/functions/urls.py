@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from opinia.constants import (
     DEFAULT_DOMAIN, DEFAULT_REVIEWER_TYPE, DEFAULT_SORT, DEFAULT_STAR_FILTER,
 )
+from opinia.functions.text import let
 
-_SPLIT = r"^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?"
+_SPLIT = r"(?s)^([^:/?#]+:)?(?:(//)([^/?#]*))?([^?#]*)(?:\?([^#]*))?(#.*)?"
 _REVIEWS_CODE = r"(?:^|/)product-reviews/([^/]*)"
 _PRODUCT_CODE = r"(?:^|/)(?:dp|gp/+product)/+([^/]+)"
 
@@ -50,31 +51,21 @@ def generate_product_url(asin: Column, domain: Column | None = None) -> Column:
 
 def parse_reviews_url(url: Column) -> Column:
     """Struct(asin, domain, language, sort, reviewer_type) of a review list URL."""
-    path, query = _path(url), _query(url)
-    code = F.when(path.rlike(_REVIEWS_CODE), F.regexp_extract(path, _REVIEWS_CODE, 1))
-    return F.when(_parsable(url), F.struct(
-        code.alias("asin"),
-        _domain(url).alias("domain"),
-        _language(query).alias("language"),
-        _parameter(query, "sortBy").alias("sort"),
-        F.coalesce(_parameter(query, "reviewerType"), F.lit(DEFAULT_REVIEWER_TYPE))
-        .alias("reviewer_type"),
-    ))
+    return let(_split(url), lambda parts: F.when(_parsable(parts), _reviews_page(parts)))
 
 
 def parse_product_url(url: Column) -> Column:
     """As `parse_reviews_url`, falling back to /dp/ and /gp/product/ pages."""
-    reviews = parse_reviews_url(url)
-    path = _path(url)
-    code = F.regexp_extract(path, _PRODUCT_CODE, 1)
-    product = F.when(_parsable(url) & (code != ""), F.struct(
-        code.alias("asin"),
-        _domain(url).alias("domain"),
-        _language(_query(url)).alias("language"),
-        F.lit(None).cast("string").alias("sort"),
-        F.lit(DEFAULT_REVIEWER_TYPE).alias("reviewer_type"),
-    ))
-    return F.coalesce(F.when(F.regexp_extract(path, _REVIEWS_CODE, 1) != "", reviews), product)
+
+    def parsed(parts: Column) -> Column:
+        code = F.regexp_extract(parts["path"], _PRODUCT_CODE, 1)
+        product = _fields(
+            code, parts, F.lit(None).cast("string"), F.lit(DEFAULT_REVIEWER_TYPE))
+        return F.when(_parsable(parts), F.when(
+            F.regexp_extract(parts["path"], _REVIEWS_CODE, 1) != "", _reviews_page(parts),
+        ).when(code != "", product))
+
+    return let(_split(url), parsed)
 
 
 def review_id_from_url(url: Column) -> Column:
@@ -87,34 +78,35 @@ def next_page_url(url: Column, href: Column | None = None) -> Column:
     Rebuilding keeps the first non-blank value of every parameter, in order of
     appearance, and adds pageNumber at the end when it was missing.
     """
-    pairs = F.filter(
-        F.split(F.substring(_query(url), 2, 2**31 - 1), "&"),
-        lambda pair: pair.rlike("(?s)^[^=]*=."),
-    )
-    decoded = F.transform(pairs, lambda pair: F.struct(
-        _decode(F.substring_index(pair, "=", 1)).alias("k"),
-        _decode(F.regexp_replace(pair, "^[^=]*=", "")).alias("v"),
-    ))
+    def rebuilt(parts: Column) -> Column:
+        pairs = F.filter(F.split(parts["query"], "&"), lambda pair: pair.rlike("(?s)^[^=]*=."))
+        return let(F.transform(pairs, lambda pair: F.struct(
+            _decode(F.substring_index(pair, "=", 1)).alias("k"),
+            _decode(F.regexp_replace(pair, "^[^=]*=", "")).alias("v"),
+        )), lambda decoded: _with_next_page(parts, decoded))
+
+    built = let(_split(url), rebuilt)
+    return built if href is None else F.coalesce(F.nullif(href, F.lit("")), built)
+
+
+def _with_next_page(parts: Column, decoded: Column) -> Column:
     names = F.transform(decoded, lambda p: p["k"])
     firsts = F.filter(decoded, lambda p, i: F.array_position(names, p["k"]) == i + 1)
     page = F.coalesce(
         F.get(F.filter(firsts, lambda p: p["k"] == "pageNumber"), F.lit(0))["v"], F.lit("1"))
     following = (page.try_cast("bigint") + 1).cast("string")
-    rebuilt = F.transform(firsts, lambda p: F.concat(
+    written = F.transform(firsts, lambda p: F.concat(
         _encode(p["k"]), F.lit("="),
         F.when(p["k"] == "pageNumber", following).otherwise(_encode(p["v"])),
     ))
     query = F.array_join(
-        F.when(F.array_contains(names, "pageNumber"), rebuilt)
-        .otherwise(F.concat(rebuilt, F.array(F.concat(F.lit("pageNumber="), following)))),
+        F.when(F.array_contains(names, "pageNumber"), written)
+        .otherwise(F.concat(written, F.array(F.concat(F.lit("pageNumber="), following)))),
         "&",
     )
-    built = F.concat(
-        F.lower(_part(url, 1)), _part(url, 2), _part(url, 3), F.lit("?"), query, _part(url, 5))
-    rebuilt_url = F.when(_parsable(url) & following.isNotNull(), built)
-    if href is None:
-        return rebuilt_url
-    return F.coalesce(F.nullif(href, F.lit("")), rebuilt_url)
+    return F.when(_parsable(parts) & following.isNotNull(), F.concat(
+        F.lower(parts["scheme"]), parts["slashes"], parts["authority"], parts["full_path"],
+        F.lit("?"), query, parts["fragment"]))
 
 
 def _filled(value: Column) -> Column:
@@ -128,43 +120,53 @@ def _given(value: Column | None, default: str) -> Column:
     return F.when(_filled(value), value).otherwise(F.lit(default))
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _SPLIT, group)
-
-
-def _authority(url: Column) -> Column:
-    return F.substring(_part(url, 2), 3, 2**31 - 1)
-
-
-def _domain(url: Column) -> Column:
-    return _given(_authority(url), DEFAULT_DOMAIN)
+def _split(url: Column) -> Column:
+    """The parts of a URL; the query without its question mark."""
+    def part(group: int) -> Column:
+        return F.regexp_extract(url, _SPLIT, group)
+
+    return F.struct(
+        _filled(url).alias("given"),
+        part(1).alias("scheme"),
+        part(2).alias("slashes"),
+        part(3).alias("authority"),
+        part(4).alias("full_path"),
+        # ";parameters" of the last segment are not part of the path.
+        F.regexp_replace(part(4), r";[^/]*\z", "").alias("path"),
+        part(5).alias("query"),
+        part(6).alias("fragment"),
+    )
 
 
-def _path(url: Column) -> Column:
-    # ";parameters" of the last segment are not part of the path.
-    return F.regexp_replace(_part(url, 3), r";[^/]*\z", "")
+def _parsable(parts: Column) -> Column:
+    return parts["given"] & (F.contains(parts["authority"], F.lit("["))
+                             == F.contains(parts["authority"], F.lit("]")))
 
 
-def _query(url: Column) -> Column:
-    return _part(url, 4)
+def _reviews_page(parts: Column) -> Column:
+    path = parts["path"]
+    code = F.when(path.rlike(_REVIEWS_CODE), F.regexp_extract(path, _REVIEWS_CODE, 1))
+    kind = F.coalesce(_parameter(parts["query"], "reviewerType"), F.lit(DEFAULT_REVIEWER_TYPE))
+    return _fields(code, parts, _parameter(parts["query"], "sortBy"), kind)
 
 
-def _parsable(url: Column) -> Column:
-    authority = _authority(url)
-    return _filled(url) & (F.contains(authority, F.lit("["))
-                           == F.contains(authority, F.lit("]")))
+def _fields(code: Column, parts: Column, sort: Column, reviewer_type: Column) -> Column:
+    return F.struct(
+        code.alias("asin"),
+        _given(parts["authority"], DEFAULT_DOMAIN).alias("domain"),
+        F.coalesce(_parameter(parts["query"], "language"),
+                   _parameter(parts["query"], "languageLocale")).alias("language"),
+        sort.alias("sort"),
+        reviewer_type.alias("reviewer_type"),
+    )
 
 
 def _parameter(query: Column, name: str) -> Column:
     """First non-blank value of a query parameter, decoded."""
-    raw = F.nullif(F.regexp_extract(query, rf"[?&]{name}=([^&]+)", 1), F.lit(""))
+    raw = F.nullif(F.regexp_extract(query, rf"(?:^|&){name}=([^&]+)", 1), F.lit(""))
     return _decode(raw)
 
 
-def _language(query: Column) -> Column:
-    return F.coalesce(_parameter(query, "language"), _parameter(query, "languageLocale"))
-
-
 def _decode(value: Column) -> Column:
     # A stray percent sign stands for itself.
     return F.url_decode(F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25"))

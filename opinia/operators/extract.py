@@ -8,8 +8,11 @@ Everything typed happens afterwards in Column expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,49 +32,84 @@ _TRIM = "\t\n\v\f\r " + "".join(
               0x3000, 0xFEFF)))
 
 
-class Outline(HTMLParser):
+_MARKUP = re.compile(
+    r"""<(?: !--.*?(?:-->|\Z)
+        | (?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>
+        | [!?/][^>]*> )""", re.S | re.X)
+_ATTRIBUTE = re.compile(
+    r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_RAW_TEXT_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style")}
+
+
+class Attributes(NamedTuple):
+    values: dict[str, str]
+    classes: frozenset[str]
+    hook: str
+
+
+@lru_cache(maxsize=8192)
+def _attributes(source: str) -> Attributes:
+    """Attributes of a start tag; the first of a repeated one counts."""
+    values: dict[str, str] = {}
+    for name, *quoted in _ATTRIBUTE.findall(source):
+        values.setdefault(name.lower(), unescape("".join(quoted)))
+    return Attributes(values, frozenset(values.get("class", "").split()),
+                      values.get("data-hook", ""))
+
+
+class Outline:
     """Elements of a document in order; element i contains i+1 .. last[i]."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.tags: list[str] = []
-        self.attrs: list[dict[str, str]] = []
-        self.classes: list[frozenset[str]] = []
+        self.attrs: list[Attributes] = []
         self.parent: list[int] = []
         self.last: list[int] = []
         self.texts: list[str] = []
         self.text_span: list[list[int]] = []
         self._open: list[int] = []
-        self.feed(html)
-        self.close()
+        position = 0
+        while (found := _MARKUP.search(html, position)) is not None:
+            self._add_text(html[position:found.start()])
+            position = found.end()
+            tag = found["tag"]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if found["end"]:
+                self._end(tag)
+                continue
+            self._start(tag, _attributes(found["attrs"]))
+            if tag in _RAW_TEXT_END:
+                end = _RAW_TEXT_END[tag].search(html, position)
+                stop = end.start() if end else len(html)
+                self.texts.append(html[position:stop])
+                position = stop
+        self._add_text(html[position:])
         self._close_down_to(0)
 
-    def handle_starttag(self, tag, attrs):
+    def _add_text(self, text: str):
+        if text:
+            self.texts.append(unescape(text) if "&" in text else text)
+
+    def _start(self, tag: str, attributes: Attributes):
         if tag in _SELF_CLOSING and self._open and self.tags[self._open[-1]] == tag:
             self._close_down_to(len(self._open) - 1)
         node = len(self.tags)
-        found = {k: v or "" for k, v in reversed(attrs)}
         self.tags.append(tag)
-        self.attrs.append(found)
-        self.classes.append(frozenset(found.get("class", "").split()))
+        self.attrs.append(attributes)
         self.parent.append(self._open[-1] if self._open else -1)
         self.last.append(node)
         self.text_span.append([len(self.texts), len(self.texts)])
         if tag not in _VOID:
             self._open.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
+    def _end(self, tag: str):
         for depth in range(len(self._open) - 1, -1, -1):
             if self.tags[self._open[depth]] == tag:
                 self._close_down_to(depth)
                 return
 
-    def handle_data(self, data):
-        self.texts.append(data)
-
     def _close_down_to(self, depth: int):
         for node in self._open[depth:]:
             self.last[node] = len(self.tags) - 1
@@ -89,14 +127,14 @@ class Outline(HTMLParser):
         while (node := self.parent[node]) >= 0:
             yield node
 
-    def find(self, test: Callable[[int], bool]) -> int | None:
-        return next((n for n in range(len(self.tags)) if test(n)), None)
+    def all(self, test: Callable[[str, Attributes], bool]) -> list[int]:
+        return [n for n, (t, a) in enumerate(zip(self.tags, self.attrs)) if test(t, a)]
 
-    def hook(self, node: int) -> str:
-        return self.attrs[node].get("data-hook", "")
+    def first_with_id(self, name: str) -> int | None:
+        return next((n for n, a in enumerate(self.attrs) if a.values.get("id") == name), None)
 
     def paginated(self, node: int) -> bool:
-        return any(self.tags[a] == "ul" and "a-pagination" in self.classes[a]
+        return any(self.tags[a] == "ul" and "a-pagination" in self.attrs[a].classes
                    for a in self.ancestors(node))
 
 
@@ -148,13 +186,13 @@ def following_url(url: Column) -> Column:
 def _read_page(html: str | None) -> dict:
     try:
         page = Outline(html or "")
-        selector, matched = _review_blocks(page)
-        standard = [n for n in range(len(page.tags)) if page.hook(n) == "review"]
+        standard = page.all(lambda tag, a: a.hook == "review")
+        selector, matched = _review_blocks(page, standard)
         return {
             "matched_selector": selector,
             "blocks": [_read_block(page, n) for n in standard],
             "matched_blocks":
-                None if matched == standard else [_read_block(page, n) for n in matched],
+                None if matched is standard else [_read_block(page, n) for n in matched],
             "header_text": _header_text(page),
             "jsonld_text": _jsonld_text(page),
             "rating_count_text": _text_of_id(page, "acrCustomerReviewText"),
@@ -167,113 +205,98 @@ def _read_page(html: str | None) -> dict:
                 "next_disabled": False, "next_link": False}
 
 
-def _review_blocks(page: Outline) -> tuple[str | None, list[int]]:
+def _review_blocks(page: Outline, standard: list[int]) -> tuple[str | None, list[int]]:
     """Elements of the first block selector that matches anything.
 
     Two narrower forms of the first selector can never match first.
     """
-    nodes = range(len(page.tags))
+    if standard:
+        return '[data-hook="review"]', standard
     wanted = frozenset(("a-section", "review", "aok-relative"))
     chain = {
-        '[data-hook="review"]': lambda n: page.hook(n) == "review",
         '[id^="customer_review-"]':
-            lambda n: page.attrs[n].get("id", "").startswith("customer_review-"),
-        'div[data-hook*="review"]': lambda n: page.tags[n] == "div" and "review" in page.hook(n),
-        "div.a-section.review.aok-relative":
-            lambda n: page.tags[n] == "div" and wanted <= page.classes[n],
+            lambda tag, a: a.values.get("id", "").startswith("customer_review-"),
+        'div[data-hook*="review"]': lambda tag, a: tag == "div" and "review" in a.hook,
+        "div.a-section.review.aok-relative": lambda tag, a: tag == "div" and wanted <= a.classes,
     }
     for selector, test in chain.items():
-        matched = [n for n in nodes if test(n)]
+        matched = page.all(test)
         if matched:
             return selector, matched
-    return None, []
+    return None, standard
+
+
+# Hook of an element -> the block fields it can supply.
+_FIELDS_BY_HOOK = {
+    "review-title": ("title",),
+    "review-body": ("body",),
+    "review-star-rating": ("rating", "star_rating"),
+    "review-date": ("date",),
+    "avp-badge": ("verified", "avp_badge"),
+    "verified-purchase-badge": ("verified",),
+    "helpful-vote-statement": ("helpful",),
+    "format-strip": ("variant",),
+}
 
 
 def _read_block(page: Outline, block: int) -> dict:
+    """Text of the first element, in document order, that supplies each field."""
     first: dict[str, int] = {}
+    href = None
     for n in page.inside(block):
-        hook = page.hook(n)
-        if hook == "review-title":
-            first.setdefault("title", n)
-        elif hook == "review-body":
-            first.setdefault("body", n)
-        elif hook == "review-star-rating":
-            first.setdefault("rating", n)
-            first.setdefault("star_rating", n)
-        elif hook == "review-date":
-            first.setdefault("date", n)
-        elif hook == "avp-badge":
-            first.setdefault("verified", n)
-            first.setdefault("avp_badge", n)
-        elif hook == "verified-purchase-badge":
-            first.setdefault("verified", n)
-        elif hook == "helpful-vote-statement":
-            first.setdefault("helpful", n)
-        elif hook == "format-strip":
-            first.setdefault("variant", n)
-        if "a-icon-alt" in page.classes[n]:
+        values, classes, hook = page.attrs[n]
+        for field in _FIELDS_BY_HOOK.get(hook, ()):
+            first.setdefault(field, n)
+        if "a-icon-alt" in classes:
             first.setdefault("rating", n)
-        if "a-profile-name" in page.classes[n]:
+        if "a-profile-name" in classes:
             first.setdefault("reviewer", n)
-        if page.tags[n] == "a" and "/reviews/" in page.attrs[n].get("href", ""):
-            first.setdefault("id_href", n)
-    found = {name: page.text(n) for name, n in first.items() if name != "id_href"}
-    if "id_href" in first:
-        found["id_href"] = page.attrs[first["id_href"]]["href"]
-    return found
+        if href is None and page.tags[n] == "a" and "/reviews/" in values.get("href", ""):
+            href = values["href"]
+    return {"id_href": href, **{field: page.text(n) for field, n in first.items()}}
 
 
 def _header_text(page: Outline) -> str | None:
     """Text of the first non-empty of the four places that show the total."""
-
-    def in_filter_section(n: int) -> bool:
-        return "a-size-base" in page.classes[n] and any(
-            page.attrs[a].get("id") == "filter-info-section" for a in page.ancestors(n))
-
     row = frozenset(("a-row", "a-spacing-base", "a-size-base"))
-    places = (
-        lambda n: page.tags[n] == "div" and page.hook(n) == "cr-filter-info-review-count",
-        in_filter_section,
-        lambda n: page.tags[n] == "div" and row <= page.classes[n],
-        lambda n: page.attrs[n].get("id") == "filter-info-section",
-    )
-    for test in places:
-        node = page.find(test)
-        if node is not None and page.text(node):
-            return page.text(node)
-    return None
+    section = page.first_with_id("filter-info-section")
+    places = [
+        page.all(lambda tag, a: tag == "div" and a.hook == "cr-filter-info-review-count"),
+        [] if section is None else
+        [n for n in page.inside(section) if "a-size-base" in page.attrs[n].classes],
+        page.all(lambda tag, a: tag == "div" and row <= a.classes),
+        [] if section is None else [section],
+    ]
+    return next((text for place in places if place and (text := page.text(place[0]))), None)
 
 
 def _jsonld_text(page: Outline) -> str | None:
-    scripts = [page.text(n) for n in range(len(page.tags))
-               if page.tags[n] == "script" and page.attrs[n].get("type") == "application/ld+json"]
-    return "\n".join(scripts) if scripts else None
+    scripts = page.all(
+        lambda tag, a: tag == "script" and a.values.get("type") == "application/ld+json")
+    return "\n".join(map(page.text, scripts)) if scripts else None
 
 
 def _text_of_id(page: Outline, name: str) -> str | None:
-    node = page.find(lambda n: page.attrs[n].get("id") == name)
+    node = page.first_with_id(name)
     return None if node is None else page.text(node)
 
 
 def _pagination(page: Outline) -> dict:
-    links = [n for n in range(len(page.tags)) if page.tags[n] == "a"]
-    last_items = [n for n in range(len(page.tags))
-                  if page.tags[n] == "li" and "a-last" in page.classes[n] and page.paginated(n)]
+    links = page.all(lambda tag, a: tag == "a")
+    last_items = [n for n in page.all(lambda tag, a: tag == "li" and "a-last" in a.classes)
+                  if page.paginated(n)]
     disabled = any(
-        "a-disabled" in page.classes[n]
-        or page.attrs[n].get("aria-disabled") == "true"
+        "a-disabled" in page.attrs[n].classes
+        or page.attrs[n].values.get("aria-disabled") == "true"
         or all(page.tags[d] != "a" for d in page.inside(n))
         for n in last_items)
-    tests = [
-        lambda n: any(a in last_items for a in page.ancestors(n)),
-        *[lambda n, label=label: label in page.attrs[n].get("aria-label", "")
+    chain = [
+        lambda n: any(n in page.inside(item) for item in last_items),
+        *[lambda n, label=label: label in page.attrs[n].values.get("aria-label", "")
           for label in NEXT_LINK_LABELS],
-        lambda n: page.hook(n) == "pagination-bar-next",
-        lambda n: "pageNumber=" in page.attrs[n].get("href", "") and page.paginated(n),
+        lambda n: page.attrs[n].hook == "pagination-bar-next",
+        lambda n: "pageNumber=" in page.attrs[n].values.get("href", "") and page.paginated(n),
     ]
-    for test in tests:
-        node = next((n for n in links if test(n)), None)
-        if node is not None:
-            return {"next_disabled": disabled, "next_link": True,
-                    "next_href": page.attrs[node].get("href")}
-    return {"next_disabled": disabled, "next_link": False, "next_href": None}
+    node = next((n for test in chain for n in links if test(n)), None)
+    return {"next_disabled": disabled, "next_link": node is not None,
+            "next_href": None if node is None else page.attrs[node].values.get("href")}

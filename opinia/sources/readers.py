@@ -99,11 +99,12 @@ def read_product_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def url_list(lines: DataFrame) -> DataFrame:
     """Parsed product URLs of a list; lines without a product code are dropped."""
-    parsed = (lines.filter(meaningful(F.col("line")))
-              .withColumn("url", strip(F.col("line")))
-              .withColumn("_p", parse_product_url(F.col("url"))))
-    return (parsed.filter(F.coalesce(F.col("_p.asin"), F.lit("")) != "")
-            .select(*[c for c in lines.columns if c != "line"], "url", "_p.*"))
+    kept = [c for c in lines.columns if c != "line"]
+    stripped = lines.filter(meaningful(F.col("line"))).select(
+        *kept, strip(F.col("line")).alias("url"))
+    # `inline` parses a line once; a filter on a projected struct would parse twice.
+    parsed = stripped.select(*kept, "url", F.inline(F.array(parse_product_url(F.col("url")))))
+    return parsed.filter(F.col("asin") != "")
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:

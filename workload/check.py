@@ -14,6 +14,8 @@ from workload.session import local_session
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
+TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double",
+         "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "HUGEINT": "hugeint"}
 
 
 def _normal(frame: pd.DataFrame) -> list[tuple]:
@@ -32,13 +34,16 @@ def _normal(frame: pd.DataFrame) -> list[tuple]:
 
 def compare(spark, db, name: str, sf_dir: str) -> str:
     """'ok', or what differs."""
-    got = QUERIES[name](spark, sf_dir).toPandas()
-    want = db.sql(oracle_sql()[name]).df()
+    frame, relation = QUERIES[name](spark, sf_dir), db.sql(oracle_sql()[name])
+    ours = dict(frame.dtypes)
+    theirs = {n: TYPES.get(str(t), str(t)) for n, t in zip(relation.columns, relation.types)}
+    types = {n: (ours[n], theirs.get(n)) for n in ours if ours[n] != theirs.get(n)}
+    got, want = frame.toPandas(), relation.df()
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
     a, b = _normal(got), _normal(want)
     if a == b:
-        return f"ok {len(a)}"
+        return f"ok {len(a)}" + (f" but types differ: {types}" if types else "")
     only_a, only_b = sorted(set(a) - set(b)), sorted(set(b) - set(a))
     return (f"DIFF rows {len(a)} vs {len(b)}; only spark {len(only_a)} {str(only_a[:2])[:600]}; "
             f"only sql {len(only_b)} {str(only_b[:2])[:600]}")
@@ -58,6 +63,7 @@ def main() -> None:
     spark, db = local_session("check"), database(sf_dir)
     for name in names:
         started = time.time()
+        print(f"== {name}", file=sys.stderr, flush=True)
         try:
             result = compare(spark, db, name, sf_dir)
         except Exception as e:  # report and go on with the next query

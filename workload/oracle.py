@@ -636,7 +636,7 @@ def oracle_sql() -> dict[str, str]:
         {sentiment('rating')} AS sentiment FROM pass2)
       SELECT *, {sentiment_rank('sentiment')} AS sentiment_rank FROM s"""
     o["latest_ten"] = f"""WITH {TABLE} SELECT asin, review_id, review_date, rating,
-      row_number() OVER (PARTITION BY asin ORDER BY {LATEST_ORDER}) AS rank FROM stored
+      CAST(row_number() OVER (PARTITION BY asin ORDER BY {LATEST_ORDER}) AS INT) AS rank FROM stored
       QUALIFY rank <= 10"""
     o["preview_head"] = f"""WITH {TYPED}, {TWO_PASS} SELECT {KEY}, review_id, review_title FROM pass2
       ORDER BY {ORD} LIMIT 200"""
