@@ -9,7 +9,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,7 +43,7 @@ def dedup_page_content(df: DataFrame, scope: list[str], page: str = "page",
     return keep_first(df.withColumn("_pair", pair), [*scope, page, "_pair"], [pos]).drop("_pair")
 
 
-def dedup_page_blocks(blocks: Column, title: callable) -> Column:
+def dedup_page_blocks(blocks: Column, title: Callable[[Column], Column]) -> Column:
     """Both in-page rules on an array of raw blocks, without a shuffle.
 
     Returns structs (pos, review_id, block) of the surviving blocks.  `title`
@@ -76,9 +78,10 @@ def dedup_cross_page(df: DataFrame, scope: list[str], order: list[str],
     large = _large_scopes(keys, scope, group_rows)
     if large.isEmpty():
         return _ordered_pass(candidates, scope, order).drop("_pair")
-    small_part = _ordered_pass(_without(candidates, large, scope), scope, order)
-    kept = _rounds(_only(keys, large, scope), scope, order, group_rows)
-    large_part = _only(candidates, kept, [*scope, *order])
+    small_part = _ordered_pass(
+        _spread_join(candidates, large, scope, order, "left_anti"), scope, order)
+    kept = _rounds(_spread_join(keys, large, scope, order, "left_semi"), scope, order, group_rows)
+    large_part = _same_rows(candidates, kept, [*scope, *order])
     return small_part.unionByName(large_part).drop("_pair")
 
 
@@ -97,11 +100,12 @@ def dedup_two_pass(df: DataFrame, order: list[str], scope: list[str] | None = No
 
 def dedup_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows before, rows after, rows removed."""
-    b = before.agg(F.count("*").alias("rows_before"))
-    a = after.agg(F.count("*").alias("rows_after"))
-    return b.join(a).select(
-        "rows_before", "rows_after",
-        (F.col("rows_before") - F.col("rows_after")).alias("removed"))
+    counted = before.select(F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(
+        after.select(F.lit(0).alias("b"), F.lit(1).alias("a")))
+    return counted.agg(
+        F.coalesce(F.sum("b"), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum("a"), F.lit(0)).alias("rows_after"),
+    ).withColumn("removed", F.col("rows_before") - F.col("rows_after"))
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
@@ -120,12 +124,21 @@ def _large_scopes(keys: DataFrame, scope: list[str], group_rows: int) -> DataFra
         F.col("_n") > group_rows).drop("_n")
 
 
-def _only(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+def _same_rows(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of `df` found in `keys`; the columns identify a row on both sides."""
     return df.join(_renamed(keys, columns), _matches(df, columns), "left_semi")
 
 
-def _without(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    return df.join(_renamed(keys, columns), _matches(df, columns), "left_anti")
+def _spread_join(df: DataFrame, keys: DataFrame, columns: list[str], order: list[str],
+                 how: str) -> DataFrame:
+    """Semi or anti join whose left side may have a hot key: its rows are spread
+    over salts, and each distinct key of the right side is copied to every salt.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALT)).cast("int"))
+    copies = keys.select(*columns).distinct().withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    on = [*columns, "_salt"]
+    return salted.join(_renamed(copies, on), _matches(salted, on), how).drop("_salt")
 
 
 def _renamed(keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -133,10 +146,7 @@ def _renamed(keys: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _matches(df: DataFrame, columns: list[str]) -> Column:
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & df[c].eqNullSafe(F.col(f"_j_{c}"))
-    return condition
+    return reduce(and_, [df[c].eqNullSafe(F.col(f"_j_{c}")) for c in columns])
 
 
 def _ordered_pass(df: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
@@ -185,7 +195,7 @@ def _rounds(keys: DataFrame, scope: list[str], order: list[str], group_rows: int
         no_id = open_rows.filter(F.col("review_id").isNull() | (F.col("review_id") == ""))
         first_id = keep_first(with_id, [*scope, "review_id"], order).unionByName(no_id)
         first_pair = keep_first(open_rows, [*scope, "_pair"], order)
-        won = reliable_checkpoint(_only(first_pair, first_id, where))
+        won = reliable_checkpoint(_same_rows(first_pair, first_id, where))
         kept = won if kept is None else kept.unionByName(won)
         open_rows = drop_sharing(open_rows, won, [*scope, "review_id"], order)
         open_rows = reliable_checkpoint(
@@ -195,9 +205,6 @@ def _rounds(keys: DataFrame, scope: list[str], order: list[str], group_rows: int
 
 
 def drop_sharing(rows: DataFrame, won: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows sharing no key with a winner; a hot key is spread over salts."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALT)).cast("int"))
-    winners = won.select(*keys).filter(F.col(keys[-1]).isNotNull() & (F.col(keys[-1]) != ""))
-    winners = winners.distinct().withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return _without(salted, winners, [*keys, "_salt"]).drop("_salt")
+    """Rows that share no key with a winner; an empty last key shares with none."""
+    real = won.filter(F.col(keys[-1]).isNotNull() & (F.col(keys[-1]) != ""))
+    return _spread_join(rows, real, keys, order, "left_anti")

@@ -185,10 +185,9 @@ def running_progress(runs: DataFrame, max_pages: int, keys: list[str] = RUN,
 
 def batch_progress(items: DataFrame, order: list[str], bucket: Column) -> DataFrame:
     """Items done and percent done after each item of a batch, in order."""
-    total = items.agg(F.count("*").alias("batch_total"))
     numbered = ordinal(items, [], bucket, order, "batch_done")
-    # The other side is one row.
-    return numbered.join(F.broadcast(total)).withColumn(
+    total = items.agg(F.count("*")).scalar()
+    return numbered.withColumn("batch_total", total).withColumn(
         "percent",
         F.least(F.lit(100.0), F.bround(F.col("batch_done") / F.col("batch_total") * 100))
         .cast("int"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from opinia.operators.dedup import insert_if_absent
@@ -31,20 +31,23 @@ def laid_out(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("asin", "review_date").sortWithinPartitions("asin", "review_date")
 
 
-def append_reviews(new: DataFrame, path: str, order: list[str]) -> DataFrame:
+def append_reviews(new: DataFrame, path: str, order: list[str]) -> int:
     """Append the storable rows whose review id the table lacks.
 
-    One writer at a time.  Returns the rows written, read back from nothing:
-    callers that only need the count use an Observation on it.
+    One writer at a time.  Returns how many were written, counted by the write
+    itself.
     """
     fit, _ = storable(new)
     fresh = insert_if_absent(fit, read_reviews(new.sparkSession, path), order)
-    laid_out(conform(fresh)).write.mode("append").parquet(path)
-    return fresh
+    saved = Observation("saved")
+    # Counted after the range layout, which samples (and so reads) its input first.
+    counted = laid_out(conform(fresh)).observe(saved, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("append").parquet(path)
+    return saved.get["rows"]
 
 
 def export_reviews(reviews: DataFrame, path: str, fmt: str, asin: str | None = None,
-                   limit: int | None = None, single_file: bool = False) -> str | None:
+                   limit: int | None = None) -> str | None:
     """Write all reviews, or one product's, and return the path; None when empty.
 
     The path gets the suffix of its format.
@@ -54,16 +57,16 @@ def export_reviews(reviews: DataFrame, path: str, fmt: str, asin: str | None = N
     if asin is not None and not (len(asin) == 10 and asin.isalnum()):
         raise ValueError(f"invalid product code {asin!r}")
     rows = reviews_for_product(reviews, asin, limit) if asin else all_reviews(reviews, limit)
-    return write_rows(rows, path, fmt, single_file)
+    return write_rows(rows, path, fmt)
 
 
-def write_rows(rows: DataFrame, path: str, fmt: str, single_file: bool = False) -> str | None:
-    """Any frame to CSV or Parquet; nothing is written when it is empty."""
+def write_rows(rows: DataFrame, path: str, fmt: str) -> str | None:
+    """Any frame to a folder of CSV or Parquet files; nothing when it is empty."""
     if rows.isEmpty():
         return None
     if not path.endswith(f".{fmt}"):
         path = f"{path}.{fmt}"
-    writer = (rows.coalesce(1) if single_file else rows).write.mode("overwrite")
+    writer = rows.write.mode("overwrite")
     if fmt == "csv":
         # Quotes are doubled, and text keeps its own leading and trailing space.
         (writer.option("header", True).option("escape", '"')
@@ -75,6 +78,5 @@ def write_rows(rows: DataFrame, path: str, fmt: str, single_file: bool = False)
 
 
 def last_run(df: DataFrame, run: str = "run_id") -> DataFrame:
-    """Rows of the latest run; the other side of the join is one row."""
-    latest = df.agg(F.max(run).alias(run))
-    return df.join(F.broadcast(latest), run, "left_semi")
+    """Rows of the latest run."""
+    return df.filter(F.col(run) == df.agg(F.max(run)).scalar())
