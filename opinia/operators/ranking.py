@@ -61,7 +61,7 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
         *[F.last(c, ignorenulls=True).over(within).alias(f"_w_{n}") for n, c in lasts.items()],
     )
     on = [windowed[k].eqNullSafe(offsets[f"_k{i}"]) for i, k in enumerate(keys)]
-    on.append(windowed["_bucket"] == offsets["_b"])
+    on.append(windowed["_bucket"].eqNullSafe(offsets["_b"]))
     joined = windowed.join(offsets, reduce(and_, on))
     return joined.select(
         *[windowed[c] for c in df.columns],
