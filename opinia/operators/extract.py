@@ -32,13 +32,17 @@ _TRIM = "\t\n\v\f\r " + "".join(
               0x3000, 0xFEFF)))
 
 
+_IN_TAG = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
+# A script or style element up to its end tag, an end tag, a start tag, or
+# something without content; a "<" that begins none of them is text.
 _MARKUP = re.compile(
-    r"""<(?: !--.*?(?:-->|\Z)
-        | (?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>
-        | [!?/][^>]*> )""", re.S | re.X)
+    rf"""<(?: (script|style)(?![^\s/>])({_IN_TAG})>(.*?)(?=</\1\b|\Z)
+        | /([a-z][^\s/>]*)[^>]*>
+        | ([a-z][^\s/>]*)({_IN_TAG})>
+        | !--.*?(?:-->|\Z)
+        | [!?/][^>]*> )""", re.S | re.X | re.I)
 _ATTRIBUTE = re.compile(
     r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW_TEXT_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style")}
 
 
 class Attributes(NamedTuple):
@@ -69,22 +73,19 @@ class Outline:
         self.text_span: list[list[int]] = []
         self._open: list[int] = []
         position = 0
-        while (found := _MARKUP.search(html, position)) is not None:
-            self._add_text(html[position:found.start()])
+        for found in _MARKUP.finditer(html):
+            start = found.start()
+            if start > position:
+                self._add_text(html[position:start])
             position = found.end()
-            tag = found["tag"]
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if found["end"]:
-                self._end(tag)
-                continue
-            self._start(tag, _attributes(found["attrs"]))
-            if tag in _RAW_TEXT_END:
-                end = _RAW_TEXT_END[tag].search(html, position)
-                stop = end.start() if end else len(html)
-                self.texts.append(html[position:stop])
-                position = stop
+            raw, raw_attrs, raw_text, end, tag, attrs = found.groups()
+            if tag:
+                self._start(tag.lower(), _attributes(attrs))
+            elif end:
+                self._end(end.lower())
+            elif raw:
+                self._start(raw.lower(), _attributes(raw_attrs))
+                self.texts.append(raw_text)
         self._add_text(html[position:])
         self._close_down_to(0)
 
@@ -93,27 +94,30 @@ class Outline:
             self.texts.append(unescape(text) if "&" in text else text)
 
     def _start(self, tag: str, attributes: Attributes):
-        if tag in _SELF_CLOSING and self._open and self.tags[self._open[-1]] == tag:
-            self._close_down_to(len(self._open) - 1)
-        node = len(self.tags)
+        opened, node = self._open, len(self.tags)
+        if tag in _SELF_CLOSING and opened and self.tags[opened[-1]] == tag:
+            self._close_down_to(len(opened) - 1)
         self.tags.append(tag)
         self.attrs.append(attributes)
-        self.parent.append(self._open[-1] if self._open else -1)
+        self.parent.append(opened[-1] if opened else -1)
         self.last.append(node)
-        self.text_span.append([len(self.texts), len(self.texts)])
+        at = len(self.texts)
+        self.text_span.append([at, at])
         if tag not in _VOID:
-            self._open.append(node)
+            opened.append(node)
 
     def _end(self, tag: str):
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self.tags[self._open[depth]] == tag:
+        opened, tags = self._open, self.tags
+        for depth in range(len(opened) - 1, -1, -1):
+            if tags[opened[depth]] == tag:
                 self._close_down_to(depth)
                 return
 
     def _close_down_to(self, depth: int):
+        last, at = len(self.tags) - 1, len(self.texts)
         for node in self._open[depth:]:
-            self.last[node] = len(self.tags) - 1
-            self.text_span[node][1] = len(self.texts)
+            self.last[node] = last
+            self.text_span[node][1] = at
         del self._open[depth:]
 
     def text(self, node: int) -> str:
@@ -128,7 +132,7 @@ class Outline:
             yield node
 
     def all(self, test: Callable[[str, Attributes], bool]) -> list[int]:
-        return [n for n, (t, a) in enumerate(zip(self.tags, self.attrs)) if test(t, a)]
+        return [n for n, keep in enumerate(map(test, self.tags, self.attrs)) if keep]
 
     def first_with_id(self, name: str) -> int | None:
         return next((n for n, a in enumerate(self.attrs) if a.values.get("id") == name), None)

@@ -107,5 +107,13 @@ def url_list(lines: DataFrame) -> DataFrame:
     return parsed.filter(F.col("asin") != "")
 
 
+def url_counts(lines: DataFrame) -> DataFrame:
+    """One row: lines that are neither blank nor comments, and those with a product code."""
+    listed = lines.filter(meaningful(F.col("line")))
+    code = parse_product_url(strip(F.col("line")))["asin"]
+    return listed.agg(F.count("*").alias("listed"),
+                      F.count_if(F.coalesce(code, F.lit("")) != "").alias("parsable"))
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return url_list(numbered_lines(spark, path))

@@ -480,6 +480,8 @@ def oracle_sql() -> dict[str, str]:
       SELECT line_no, asin, regexp_full_match(asin, '[\\p{{L}}\\p{{N}}]{{10}}') AS valid FROM u
       WHERE asin <> '' AND NOT starts_with(asin, '#')"""
     o["url_list"] = f"WITH {LISTED} SELECT * FROM listed"
+    o["url_counts"] = f"""WITH {LISTED} SELECT (SELECT count(*) FROM bare) AS listed,
+      (SELECT count(*) FROM listed) AS parsable"""
     plan = f"""{LISTED}, plan AS (
       SELECT line_no, asin, domain, star_filter, CAST(star_rank AS INT) AS star_rank,
         CAST(page AS INT) AS page,

@@ -186,6 +186,11 @@ def url_list(spark, sf_dir):
     return readers.url_list(derive.product_urls(spark, sf_dir).drop("code"))
 
 
+@query
+def url_counts(spark, sf_dir):
+    return readers.url_counts(derive.product_urls(spark, sf_dir))
+
+
 @query
 def crawl_plan(spark, sf_dir):
     return crawl.crawl_plan(url_list(spark, sf_dir)).select(
