@@ -12,8 +12,8 @@ from workload.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session("tests", cpus="4", scratch=str(tmp_path_factory.mktemp("scratch")))
+def spark():
+    session = local_session("tests", cpus="4")
     yield session
     session.stop()
 

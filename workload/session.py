@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def local_session(name: str, cpus: str = "8", scratch: str | None = None) -> SparkSession:
+def local_session(name: str, cpus: str = "8") -> SparkSession:
+    """Checkpoint and local folders stay as the environment sets them."""
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
-    scratch = scratch or tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -21,9 +20,6 @@ def local_session(name: str, cpus: str = "8", scratch: str | None = None) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.checkpoint.dir", scratch)
-        .config("spark.local.dir", scratch)
-        .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
