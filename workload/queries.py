@@ -11,7 +11,6 @@ from opinia.constants import DEFAULT_MAX_PAGES
 from opinia.functions import dates, markets, pages, ratings, text, urls
 from opinia.operators import dedup, extract, records
 from opinia.plans import crawl, ingest, maintenance, metrics, views
-from opinia.schema import REVIEWS
 from opinia.sources import readers, sinks
 from opinia.sources.scratch import scratch_path
 from opinia.streaming import pages as streams
