@@ -6,12 +6,14 @@ static filter.  Of an incoming batch,
 
 * copies within the batch are grouped on their own, by digest, with partial
   aggregation, so a text that fills a third of the batch sends a row per task;
-* the distinct digests meet the filter of their bucket; those it may hold are
-  joined with the exact rows of the snapshot, and the two texts are compared;
+* the distinct digests meet the filter of their bucket, which knows 8 of their
+  bytes; those it may hold are joined with the exact rows of the bucket, where all
+  32 bytes, the length of the text and an independent 64-bit hash must agree;
 * all other digests are new and never touch the snapshot.
 
-The text is hashed once, by built-in functions; only digests are shuffled, and
-texts only to compare the positives.
+The text is read once and hashed by built-in functions.  It is never shuffled:
+comparing the texts themselves would move the whole corpus to confirm what SHA-256,
+length and a second hash have established.
 
 Defined results: NULL counts as the empty text; texts are compared after
 replacing each run of ASCII white space by one space (not trimmed); rows that
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from opinia.llm import fuse_filter
 from opinia.llm.common import cut, table
 
+#: What must agree for two texts to be the same.
+SAME = ["sha", "n_bytes", "check"]
 #: Keys that a bucket holds about; with them its filter takes some 10 KB.
 BUCKET_KEYS = 8192
 
@@ -51,9 +55,11 @@ def normalised(text: Column) -> Column:
 
 def digests(docs: DataFrame, seen: Column, id_column: str = "doc_id",
             text_column: str = "text") -> DataFrame:
-    """doc_id, whether it was seen, and the SHA-256 (32 bytes) of the normalised text."""
-    return docs.select(F.col(id_column).alias("doc_id"), F.coalesce(seen, F.lit(False)).alias("seen"),
-                       F.unhex(F.sha2(normalised(F.col(text_column)), 256)).alias("sha"))
+    """doc_id, whether it was seen, SHA-256, length and XXH64 of the normalised text."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(seen, F.lit(False)).alias("seen"),
+                       normalised(F.col(text_column)).alias("body"))
+    return rows.select("doc_id", "seen", F.unhex(F.sha2("body", 256)).alias("sha"),
+                       F.octet_length("body").alias("n_bytes"), F.xxhash64("body").alias("check"))
 
 
 def _first_bits(sha: Column, buckets: int) -> Column:
@@ -66,7 +72,7 @@ def _keys(shas: pd.Series) -> np.ndarray:
 
 
 def _one_per_text(hashed: DataFrame) -> DataFrame:
-    return hashed.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"))
+    return hashed.groupBy(*SAME).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"))
 
 
 def snapshot(hashed: DataFrame) -> Snapshot:
@@ -96,18 +102,6 @@ def screen(batch: DataFrame, stored: Snapshot) -> DataFrame:
         look_up, held.withColumn("maybe", F.lit(True)).schema)
 
 
-def _same_bytes(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Of pairs (sha, new_id, old_id), those whose normalised texts are the same bytes."""
-    body = docs.select(F.col(id_column).alias("id"), normalised(F.col(text_column)).alias("body"))
-    long = pairs.select("sha", "new_id", F.explode(F.array("new_id", "old_id")).alias("id"))
-    read = long.join(body, "id").groupBy("sha").agg(
-        F.min("body").alias("low"), F.max("body").alias("high"))
-    same = read.filter(F.col("low") == F.col("high")).select("sha")
-    # A text known under no id at all cannot be fetched; its digest stands for it.
-    return pairs.join(same, "sha", "left_semi").unionByName(
-        pairs.filter(F.col("new_id").isNull() | F.col("old_id").isNull()))
-
-
 def exact_dedup(docs: DataFrame, seen: Column, id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
@@ -118,19 +112,16 @@ def exact_dedup(docs: DataFrame, seen: Column, id_column: str = "doc_id",
     hashed = cut(digests(docs, seen, id_column, text_column), "digests")
     stored = snapshot(hashed.filter("seen"))
     batch = cut(screen(_one_per_text(hashed.filter(~F.col("seen"))), stored), "screened")
-    pairs = cut(
-        batch.filter("maybe").join(
-            stored.rows.select("sha", F.col("keep_id").alias("old_id"), F.col("copies").alias("old_copies")),
-            "sha").select("sha", F.col("keep_id").alias("new_id"), "old_id",
-                          (F.col("copies") + F.col("old_copies")).alias("size")), "positives")
-    found = _same_bytes(pairs, docs, id_column, text_column).select(
-        "sha", F.least("new_id", "old_id").alias("common_id"), "size")
-    sides = stored.rows.select("sha", "keep_id", "copies", F.lit(True).alias("seen")).unionByName(
-        batch.select("sha", "keep_id", "copies", F.lit(False).alias("seen")))
-    groups = sides.join(found, "sha", "left").select(
-        "sha", "seen", F.coalesce("common_id", "keep_id").alias("keep_id"),
+    old = stored.rows.select(*SAME, F.col("keep_id").alias("old_id"), F.col("copies").alias("old_copies"))
+    found = cut(batch.filter("maybe").join(old, SAME).select(
+        *SAME, F.least("keep_id", "old_id").alias("common_id"),
+        (F.col("copies") + F.col("old_copies")).alias("size")), "positives")
+    sides = stored.rows.select(*SAME, "keep_id", "copies", F.lit(True).alias("seen")).unionByName(
+        batch.select(*SAME, "keep_id", "copies", F.lit(False).alias("seen")))
+    groups = sides.join(found, SAME, "left").select(
+        *SAME, "seen", F.coalesce("common_id", "keep_id").alias("keep_id"),
         F.coalesce("size", "copies").alias("group_size"))
-    return hashed.join(groups, ["sha", "seen"]).select(
+    return hashed.join(groups, [*SAME, "seen"]).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
