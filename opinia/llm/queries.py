@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from opinia.llm import exact_dedup, simhash_dedup
+from opinia.llm import exact_dedup, simhash_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op3_url_filter": url_filter.op3_url_filter,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_url_filter": url_filter.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
