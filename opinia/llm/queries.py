@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from opinia.llm import bpe_codec, exact_dedup, simhash_dedup, token_counts, toxicity, url_filter
+from opinia.llm import bpe_codec, embedding_dedup, exact_dedup, html_text, simhash_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op4_bpe_codec": bpe_codec.op4_bpe_codec,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_html_text": html_text.op8_html_text,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
