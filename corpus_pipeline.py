@@ -1,15 +1,66 @@
-"""From raw documents to encoded, mixed and deduplicated ones: the stages in order."""
+"""From raw documents to encoded ones: toxicity, exact and near copies, mix, tokens.
+
+Every stage reads all that the one before it kept and returns the columns of
+`documents`; the last returns a row of digests per document.  The two dedup stages
+find their rows again by doc_id: rows that share one go together, and rows without a
+doc_id stay.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from opinia.llm import bpe_codec, exact_dedup, simhash_dedup, source_mixing, toxicity
 from opinia.llm.common import cut, table
 
-STAGES = []
 
-#: No stage on compression lengths or Hamming distances has an SQL form; the tests hold
-#: the stages against brute force.
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among those of `gone`."""
+    ids = gone.select(F.col("doc_id").alias("_id"))
+    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it learns from the labelled ones here."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest doc_id."""
+    found = exact_dedup.exact_dedup(docs, exact_dedup.arrived_before(docs))
+    return _without(docs, found.filter(~F.col("kept")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
+    found = simhash_dedup.simhash_dedup(docs)
+    gone = found.filter(F.col("doc_id") != F.col("component_id"))
+    return _without(docs, gone)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, laid out in the order of the mix."""
+    return source_mixing.in_mixed_order(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every document."""
+    return bpe_codec.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
+#: Compression lengths, Hamming distances and token ids have no SQL form; the tests
+#: hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -17,5 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table, each written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -171,17 +171,20 @@ def _windows(toxic: bytes, ordinary: bytes) -> Windows:
     return Windows(toxic, ordinary)
 
 
+def _batch_scores(model: Model | float, column: pa.Array) -> np.ndarray:
+    if isinstance(model, float):
+        return np.full(len(column), model)
+    windows = _windows(model.toxic, model.ordinary)
+    rows = np.array([windows.features(t or "") for t in column.to_pylist()])
+    rows = (rows - np.array(model.centre)) / np.array(model.scale)
+    return 1 / (1 + np.exp(-np.clip(rows @ np.array(model.weights[:-1]) + model.weights[-1], -30, 30)))
+
+
 def _scores(model: Model | float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
-            if isinstance(model, float):
-                score = np.full(batch.num_rows, model)
-            else:
-                windows = _windows(model.toxic, model.ordinary)
-                rows = np.array([windows.features(t or "") for t in batch.column("text").to_pylist()])
-                rows = (rows - np.array(model.centre)) / np.array(model.scale)
-                score = 1 / (1 + np.exp(-np.clip(rows @ np.array(model.weights[:-1]) + model.weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(_batch_scores(model, batch.column("text")))], ["doc_id", "score"])
 
     return run
 
@@ -216,3 +219,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model | float, text_column: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below the limit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded_batches(batches, text_column):
+            yield batch.filter(pa.array(_batch_scores(model, batch.column(text_column)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
