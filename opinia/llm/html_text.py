@@ -187,7 +187,8 @@ def smoothed(nodes: list[Node], ratios: dict[str, float]) -> dict[str, float]:
     marked = any(n.inside for n in nodes)
     found: dict[str, list[float]] = defaultdict(list)
     for n, value in zip(nodes, values, strict=True):
-        found[n.path].append(float(value) * (1.0 if n.inside or not marked else OUTSIDE))
+        weight = (1.0 if n.inside or not marked else OUTSIDE) * (1 - n.links / len(n.text))  # not from neighbours
+        found[n.path].append(float(value) * weight)
     return {path: sum(v) / len(v) for path, v in found.items()}
 
 
