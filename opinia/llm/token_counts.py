@@ -1,13 +1,13 @@
 """Token counts: each distinct pre-token is encoded once, documents only add up.
 
 Documents are cut into pre-tokens in blocks of bounded size.  A block keeps, per
-document, how often each of its distinct pre-tokens occurs (as positions in the
-block's own list), and the lists of all blocks give the distinct pre-tokens of the
-corpus.  Pieces are counted once for each of those, joined to the blocks by
-pre-token and summed per document.  Ids are never made.  The join moves one row
-per block and distinct pre-token, not per document or occurrence; a pre-token that
-every block has is one small row on its other side, so a large partition can be
-split.
+document, how often each of its distinct pre-tokens occurs, as packed positions in
+the block's own list of pre-tokens.  The lists of all blocks are brought together by
+pre-token: where its rows meet, in order, the pieces are counted once and joined to
+each block that has it.  Back in the blocks they are summed per document.  Ids are
+never made.  One small row per block and distinct pre-token is shuffled, not one per
+document or occurrence; a pre-token that every block has comes to one row a block,
+that is per 32 MB of text.
 
 Special strings inside a text are split off first, as the library does, and count
 as one pre-token with one piece.
@@ -29,6 +29,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task pe
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 512
 #: Text that a block holds about; a document beyond it is a block of its own.
-BLOCK_BYTES = 16 << 20
-BLOCK = ("block string, doc_ids array<long>, n_bytes array<long>, sizes array<int>, "
-         "words array<int>, times array<int>, pieces array<string>")
+BLOCK_BYTES = 32 << 20
+BLOCK = ("block long, doc_ids array<long>, n_bytes array<long>, sizes array<int>, "
+         "words binary, times binary, pieces array<string>")
 
 
 @lru_cache(maxsize=4)
@@ -75,6 +76,17 @@ def _words():
     return regex.compile(PATTERN)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Small integers: byte planes of their differences, compressed."""
+    steps = np.diff(values.astype(np.int32), prepend=np.int32(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpacked(stored: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(stored), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int32)
+
+
 def _blocks(path: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -84,9 +96,9 @@ def _blocks(path: str, block_bytes: int):
         def block() -> pa.RecordBatch:
             join = lambda arrays: np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{part}-{number}"]), pa.array([ids], pa.list_(pa.int64())),
+                [pa.array([part << 32 | number]), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([n_bytes], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
-                 pa.array([join(words)], pa.list_(pa.int32())), pa.array([join(times)], pa.list_(pa.int32())),
+                 pa.array([packed(join(words))]), pa.array([packed(join(times))]),
                  pa.array([list(place)], pa.list_(pa.string()))],
                 ["block", "doc_ids", "n_bytes", "sizes", "words", "times", "pieces"])
 
@@ -97,8 +109,10 @@ def _blocks(path: str, block_bytes: int):
                 ids.append(doc_id)
                 n_bytes.append(len(text.encode()))
                 sizes.append(len(counts))
-                words.append(np.fromiter((place.setdefault(w, len(place)) for w in counts), np.int32, len(counts)))
-                times.append(np.fromiter(counts.values(), np.int32, len(counts)))
+                at = np.fromiter((place.setdefault(w, len(place)) for w in counts), np.int32, len(counts))
+                order = np.argsort(at)  # ascending positions pack well
+                words.append(at[order])
+                times.append(np.fromiter(counts.values(), np.int32, len(counts))[order])
                 held += n_bytes[-1]
                 if held >= block_bytes:
                     yield block()
@@ -111,13 +125,21 @@ def _blocks(path: str, block_bytes: int):
 
 
 def _pieces(path: str):
+    """Rows sorted by piece; every run of one piece is encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, special, _ = _tokenizer(path)
+        tokenizer = _tokenizer(path)[0]
+        last, last_count = None, 0
         for batch in batches:
-            words = batch.column("piece").to_pylist()
-            found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            yield pa.RecordBatch.from_pydict({
-                "piece": words, "n": pa.array([len(e.ids) for e in found], pa.int32())})
+            runs = batch.column("piece").dictionary_encode()
+            names = runs.dictionary.to_pylist()
+            known = int(bool(names) and names[0] == last)  # a run may go on from the batch before
+            found = tokenizer.encode_batch_fast(names[known:], add_special_tokens=False)
+            counts = np.array([last_count] * known + [len(e.ids) for e in found], np.int32)
+            if names:
+                last, last_count = names[-1], counts[-1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("of"), batch.column("at"), pa.array(counts[numbers(runs.indices)])], ["of", "at", "n"])
 
     return run
 
@@ -128,8 +150,9 @@ def _sums(docs: pa.Table, counts: pa.Table) -> pa.Table:
     of[numbers(counts.column("at"))] = numbers(counts.column("n"))
     parts = []
     for row in docs.select(["doc_ids", "n_bytes", "sizes", "words", "times"]).to_batches():
-        ids, n_bytes, sizes, words, times = (column.flatten() for column in row.columns)
-        totals = np.concatenate([[0], np.cumsum(of[numbers(words)] * numbers(times))])
+        ids, n_bytes, sizes = (column.flatten() for column in row.columns[:3])
+        words, times = (unpacked(column[0].as_py()) for column in row.columns[3:])
+        totals = np.concatenate([[0], np.cumsum(of[words] * times)])
         ends = np.cumsum(numbers(sizes))
         parts.append(pa.table({"doc_id": ids, "n_bytes": n_bytes,
                                "n_tokens": totals[ends] - totals[ends - numbers(sizes)]}))
@@ -141,9 +164,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_column: str
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     blocks = cut(rows.mapInArrow(_blocks(path, block_bytes), BLOCK), "token-blocks")
-    pieces = blocks.select("block", F.posexplode("pieces").alias("at", "piece"))
-    counts = cut(pieces.select("piece").distinct().mapInArrow(_pieces(path), "piece string, n int"), "piece-counts")
-    found = pieces.join(counts, "piece").select(F.col("block").alias("of"), "at", "n")
+    pieces = blocks.select(F.col("block").alias("of"), F.posexplode("pieces").alias("at", "piece"))
+    found = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(
+        _pieces(path), "of long, at int, n int")
     summed = blocks.drop("pieces").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(
         _sums, "doc_id long, n_bytes long, n_tokens long")
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
