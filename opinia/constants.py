@@ -168,3 +168,7 @@ COLUMN_LIMITS = {
     "domain": 64,
     "canonical_product_url": 255,
 }
+
+
+# The columns of a product's latest reviews.
+LATEST_COLUMNS = ("review_id", "review_date", "rating", "title", "body")

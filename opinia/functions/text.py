@@ -70,7 +70,6 @@ def canonical_review_id(title: Column, body: Column) -> Column:
 def content_key(title: Column, body: Column, author: Column, date: Column,
                 rating: Column, variant: Column) -> Column:
     """Hash of the cleaned text or, for a review without text, of its facts."""
-    t, b = clean_text(title), clean_text(body)
     facts = _text_hash(
         clean_text(author),
         F.coalesce(date, F.lit("")),
@@ -79,7 +78,9 @@ def content_key(title: Column, body: Column, author: Column, date: Column,
                           rating.cast("string")), F.lit("")),
         clean_text(variant),
     )
-    return F.when((t != "") | (b != ""), _text_hash(t, b)).otherwise(facts)
+    texts = F.struct(clean_text(title).alias("t"), clean_text(body).alias("b"))
+    return let(texts, lambda x: F.when(
+        (x["t"] != "") | (x["b"] != ""), _text_hash(x["t"], x["b"])).otherwise(facts))
 
 
 def content_pair(title: Column, body: Column) -> Column:

@@ -25,8 +25,6 @@ from opinia.sources.scratch import reliable_checkpoint
 # A run with more distinct (id, content) rows than this is deduplicated in
 # distributed rounds; up to it, one ordered pass in one task is cheap.
 ORDERED_PASS_ROWS = 200_000
-# Copies of each removal key in a round, to spread a hot id or content.
-SALT = 16
 
 
 def dedup_page_id(df: DataFrame, scope: list[str], page: str = "page",
@@ -66,23 +64,24 @@ def dedup_cross_page(df: DataFrame, scope: list[str], order: list[str],
     """Greedy rule over a run: drop a row whose id or content was seen on an
     earlier *kept* row; a dropped row leaves no trace.
 
-    `order` must be unique within `scope`.  Rows equal in both id and content
-    collapse to the first beforehand, which is what the greedy rule does.
-    Runs of up to `group_rows` remaining rows go through one ordered pass;
-    larger ones are first worked down in rounds (see `_rounds`).
+    `order` must be unique within `scope`.  Everything is decided on narrow keys
+    (place, id, hash of the content); the rows themselves are joined once, at the
+    end.  Rows equal in both id and content collapse to the first beforehand,
+    which is what the greedy rule does.  Runs of up to `group_rows` remaining keys
+    go through one ordered pass; larger ones are worked down in rounds (see
+    `_rounds`).  Both give the same rows.
     """
     pair = content_pair(F.col("review_title"), F.col("review_body"))
-    candidates = reliable_checkpoint(keep_first(
-        df.withColumn("_pair", pair), [*scope, "review_id", "_pair"], order))
-    keys = candidates.select(*scope, *order, "review_id", "_pair")
+    places = df.select(*scope, *order, "review_id", pair.alias("_pair"))
+    keys = reliable_checkpoint(keep_first(places, [*scope, "review_id", "_pair"], order))
     large = _large_scopes(keys, scope, group_rows)
     if large.isEmpty():
-        return _ordered_pass(candidates, scope, order).drop("_pair")
-    small_part = _ordered_pass(
-        _spread_join(candidates, large, scope, order, "left_anti"), scope, order)
-    kept = _rounds(_spread_join(keys, large, scope, order, "left_semi"), scope, order, group_rows)
-    large_part = _same_rows(candidates, kept, [*scope, *order])
-    return small_part.unionByName(large_part).drop("_pair")
+        kept = _ordered_pass(keys, scope, order)
+    else:
+        small = _semi(keys, large, scope, "left_anti")
+        kept = _ordered_pass(small, scope, order).unionByName(
+            _rounds(_semi(keys, large, scope, "left_semi"), scope, order, group_rows))
+    return _semi(df, kept, [*scope, *order], "left_semi")
 
 
 def dedup_two_pass(df: DataFrame, order: list[str], scope: list[str] | None = None) -> DataFrame:
@@ -124,21 +123,12 @@ def _large_scopes(keys: DataFrame, scope: list[str], group_rows: int) -> DataFra
         F.col("_n") > group_rows).drop("_n")
 
 
-def _same_rows(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of `df` found in `keys`; the columns identify a row on both sides."""
-    return df.join(_renamed(keys, columns), _matches(df, columns), "left_semi")
+def _semi(df: DataFrame, keys: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Rows of `df` whose columns are (or are not) among those of `keys`.
 
-
-def _spread_join(df: DataFrame, keys: DataFrame, columns: list[str], order: list[str],
-                 how: str) -> DataFrame:
-    """Semi or anti join whose left side may have a hot key: its rows are spread
-    over salts, and each distinct key of the right side is copied to every salt.
+    Both sides are plain exchanges, so a partition with a hot key is split at run time.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALT)).cast("int"))
-    copies = keys.select(*columns).distinct().withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    on = [*columns, "_salt"]
-    return salted.join(_renamed(copies, on), _matches(salted, on), how).drop("_salt")
+    return df.join(_renamed(keys, columns), _matches(df, columns), how)
 
 
 def _renamed(keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -195,16 +185,15 @@ def _rounds(keys: DataFrame, scope: list[str], order: list[str], group_rows: int
         no_id = open_rows.filter(F.col("review_id").isNull() | (F.col("review_id") == ""))
         first_id = keep_first(with_id, [*scope, "review_id"], order).unionByName(no_id)
         first_pair = keep_first(open_rows, [*scope, "_pair"], order)
-        won = reliable_checkpoint(_same_rows(first_pair, first_id, where))
+        won = reliable_checkpoint(_semi(first_pair, first_id, where, "left_semi"))
         kept = won if kept is None else kept.unionByName(won)
-        open_rows = drop_sharing(open_rows, won, [*scope, "review_id"], order)
-        open_rows = reliable_checkpoint(
-            drop_sharing(open_rows, won, [*scope, "_pair"], order))
+        open_rows = drop_sharing(open_rows, won, [*scope, "review_id"])
+        open_rows = reliable_checkpoint(drop_sharing(open_rows, won, [*scope, "_pair"]))
         if _large_scopes(open_rows, scope, group_rows).isEmpty():
             return kept.unionByName(_ordered_pass(open_rows, scope, order))
 
 
-def drop_sharing(rows: DataFrame, won: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def drop_sharing(rows: DataFrame, won: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that share no key with a winner; an empty last key shares with none."""
     real = won.filter(F.col(keys[-1]).isNotNull() & (F.col(keys[-1]) != ""))
-    return _spread_join(rows, real, keys, order, "left_anti")
+    return _semi(rows, real, keys, "left_anti")

@@ -156,6 +156,22 @@ def product_means(reviews: DataFrame) -> DataFrame:
         (F.sum(F.coalesce("rating", F.lit(0.0))) / F.count("*")).alias("mean_rating"))
 
 
+def rating_distribution(reviews: DataFrame) -> DataFrame:
+    """Reviews per product and whole star; a missing rating is its own row."""
+    return reviews.groupBy("asin", F.floor("rating").cast("int").alias("stars")).agg(
+        F.count("*").alias("reviews"))
+
+
+def review_timeline(reviews: DataFrame) -> DataFrame:
+    """Reviews and mean rating per product and month; undated ones have no month.
+
+    Ratings have at most a few decimals and are summed exactly.
+    """
+    exact = F.sum(F.col("rating").cast("decimal(10,4)")).cast("double")
+    return reviews.groupBy("asin", F.substring("review_date", 1, 7).alias("month")).agg(
+        F.count("*").alias("reviews"), (exact / F.count("rating")).alias("mean_rating"))
+
+
 def completeness(runs: DataFrame, asked_pages: int, keys: list[str] = RUN) -> DataFrame:
     """Whether a run read all pages: the number asked, or up to the last one."""
     seen = F.max(F.when(F.col("reviews_parsed") > 0, F.col("page")))

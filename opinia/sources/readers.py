@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinia.constants import IMPORT_ALIASES
 from opinia.functions.text import strip
 from opinia.functions.urls import parse_product_url, validate_asin
-from opinia.operators.ranking import ordinal
+from opinia.operators.ranking import keep_first, ordinal
 from opinia.schema import REVIEWS
 
 
@@ -17,17 +17,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a frame read from too few file splits one partition per core.
-
-    A table of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
     """A folder of saved pages, one document per file."""
     return (spark.read.text(path, wholetext=True)
@@ -107,6 +96,11 @@ def url_list(lines: DataFrame) -> DataFrame:
     return parsed.filter(F.col("asin") != "")
 
 
+def distinct_urls(urls: DataFrame, order: str = "line_no") -> DataFrame:
+    """The first line of every product address of a `url_list` (code and market)."""
+    return keep_first(urls, ["asin", "domain"], [order])
+
+
 def url_counts(lines: DataFrame) -> DataFrame:
     """One row: lines that are neither blank nor comments, and those with a product code."""
     listed = lines.filter(meaningful(F.col("line")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a fresh local one when unset."""
+    """The session's checkpoint folder.
+
+    Only a session in local mode may leave it unset and gets a fresh local folder;
+    on a cluster other machines could not read that.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from opinia.operators.dedup import insert_if_absent
-from opinia.operators.records import conform, storable
+from opinia.operators.records import coerce_defaults, conform, storable
 from opinia.plans.views import all_reviews, reviews_for_product
 from opinia.schema import REVIEWS
 from opinia.sources.readers import read_reviews
+from opinia.sources.scratch import reliable_checkpoint
 
-FORMATS = ("csv", "parquet")
+FORMATS = ("csv", "parquet", "ndjson")
 
 
 def ensure_reviews_table(spark: SparkSession, path: str, reset: bool = False) -> None:
@@ -21,8 +22,9 @@ def ensure_reviews_table(spark: SparkSession, path: str, reset: bool = False) ->
         try:
             spark.read.parquet(path)
             return
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     spark.createDataFrame([], REVIEWS).write.mode("overwrite").parquet(path)
 
 
@@ -31,17 +33,19 @@ def laid_out(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("asin", "review_date").sortWithinPartitions("asin", "review_date")
 
 
-def append_reviews(new: DataFrame, path: str, order: list[str]) -> int:
+def append_reviews(new: DataFrame, path: str, order: list[str | Column],
+                   now: Column | None = None) -> int:
     """Append the storable rows whose review id the table lacks.
 
-    One writer at a time.  Returns how many were written, counted by the write
-    itself.
+    Absent badges, votes and times get their defaults (`now`).  One writer at a
+    time.  Returns how many were written, counted by the write itself.
     """
     fit, _ = storable(new)
     fresh = insert_if_absent(fit, read_reviews(new.sparkSession, path), order)
+    # The range layout reads its input twice, first to sample it: run the plan once.
+    ready = reliable_checkpoint(conform(coerce_defaults(conform(fresh), now)))
     saved = Observation("saved")
-    # Counted after the range layout, which samples (and so reads) its input first.
-    counted = laid_out(conform(fresh)).observe(saved, F.count(F.lit(1)).alias("rows"))
+    counted = laid_out(ready).observe(saved, F.count(F.lit(1)).alias("rows"))
     counted.write.mode("append").parquet(path)
     return saved.get["rows"]
 
@@ -50,20 +54,27 @@ def export_reviews(reviews: DataFrame, path: str, fmt: str, asin: str | None = N
                    limit: int | None = None) -> str | None:
     """Write all reviews, or one product's, and return the path; None when empty.
 
-    The path gets the suffix of its format.
+    The path gets the suffix of its format.  Columns come in the order of the
+    stored table, whatever that of the frame; others follow.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}, not {fmt!r}")
     if asin is not None and not (len(asin) == 10 and asin.isalnum()):
         raise ValueError(f"invalid product code {asin!r}")
+    first = [c for c in REVIEWS.fieldNames() if c in reviews.columns]
+    reviews = reviews.select(*first, *[c for c in reviews.columns if c not in first])
     rows = reviews_for_product(reviews, asin, limit) if asin else all_reviews(reviews, limit)
-    return write_rows(rows, path, fmt)
+    # Emptiness is a matter of the unsorted rows; asking the sorted ones would sort twice.
+    empty = reviews.filter(F.col("asin") == asin) if asin else reviews
+    return None if empty.isEmpty() else _write(rows, path, fmt)
 
 
 def write_rows(rows: DataFrame, path: str, fmt: str) -> str | None:
-    """Any frame to a folder of CSV or Parquet files; nothing when it is empty."""
-    if rows.isEmpty():
-        return None
+    """Any frame to a folder of CSV, Parquet or NDJSON files; nothing when it is empty."""
+    return None if rows.isEmpty() else _write(rows, path, fmt)
+
+
+def _write(rows: DataFrame, path: str, fmt: str) -> str:
     if not path.endswith(f".{fmt}"):
         path = f"{path}.{fmt}"
     writer = rows.write.mode("overwrite")
@@ -72,6 +83,8 @@ def write_rows(rows: DataFrame, path: str, fmt: str) -> str | None:
         (writer.option("header", True).option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False)
          .option("ignoreTrailingWhiteSpace", False).csv(path))
+    elif fmt == "ndjson":
+        writer.option("ignoreNullFields", False).json(path)
     else:
         writer.parquet(path)
     return path

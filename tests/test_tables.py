@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinia.operators import records
+from opinia.operators.dedup import insert_if_absent
 from opinia.plans import crawl, maintenance, metrics, views
+from opinia.plans.ingest import first_writer
 from opinia.schema import PAGE_RUNS, REVIEWS
 from opinia.sources import readers, sinks
 
@@ -218,7 +220,48 @@ def test_migration(spark):
            for r in maintenance.migrate_titles(df, now=F.lit(now)).collect()}
     assert got == {"R1": ("Bon", now), "R2": ("Bon", at), "R3": (None, at)}
     assert tuple(maintenance.migration_metrics(df).first()) == (3, 1)
-    assert maintenance.migrate_titles(df, limit=2).count() == 2
+    older = df.withColumn("created_at", F.when(F.col("review_id") == "R1", F.lit(now)).otherwise(F.lit(at)))
+    kept = {r["review_id"]: r["review_title"] for r in maintenance.migrate_titles(older, limit=2).collect()}
+    assert kept == {"R1": "5,0 sur 5 étoiles Bon", "R2": "Bon", "R3": None}
+    assert maintenance.migrate_titles(older, limit=3).filter("review_title = 'Bon'").count() == 2
+
+
+def test_upsert_keeps_the_row_updated_last(spark):
+    at = [dt.datetime(2020, 1, day) for day in (1, 2, 3)]
+    stored = reviews(spark, review(rid="R1", review_title="a", updated_at=at[1]), review(rid="R2", updated_at=at[1]),
+                     review(rid=None), review(rid="R3"))
+    new = reviews(spark, review(rid="R1", review_title="b", updated_at=at[0]), review(rid=None),
+                  review(rid="R2", review_title="c", updated_at=at[1]), review(rid="R4", review_title="d"),
+                  review(rid="R3", review_title="e", updated_at=at[2]))
+    rows = sorted(((r["review_id"], r["review_title"]) for r in maintenance.upsert(stored, new).collect()), key=str)
+    assert rows == [("R1", "a"), ("R2", "c"), ("R3", "e"), ("R4", "d"), (None, None), (None, None)]
+
+
+def test_tranches_are_written_from_five_to_one(spark):
+    rows = spark.createDataFrame(
+        [("A", None, star, 1, 0, "R1") for star in ("one_star", "three_star", None, "four_star")],
+        "asin string, domain string, star_filter string, page int, pos int, review_id string")
+    existing = reviews(spark, review(rid="other"))
+    (row,) = insert_if_absent(rows, existing, first_writer()).collect()
+    assert row["star_filter"] == "four_star"
+
+
+def test_appended_rows_get_defaults(spark, tmp_path):
+    path, now = str(tmp_path / "reviews"), dt.datetime(2024, 5, 6)
+    sinks.ensure_reviews_table(spark, path)
+    assert sinks.append_reviews(reviews(spark, review(verified_purchase=None, helpful_votes=None)), path, ["asin"],
+                                F.lit(now)) == 1
+    (row,) = readers.read_reviews(spark, path).collect()
+    assert (row["verified_purchase"], row["helpful_votes"], row["created_at"], row["updated_at"]) == (False, 0, now, now)
+
+
+def test_distribution_and_timeline(spark):
+    df = reviews(spark, review(rating=4.5, review_date="2024-01-05"), review(rating=4.0, review_date="2024-01-31"),
+                 review(review_date="2024-02-01"), review(rating=1.0))
+    stars = {r["stars"]: r["reviews"] for r in metrics.rating_distribution(df).collect()}
+    assert stars == {4: 2, 1: 1, None: 1}
+    months = {r["month"]: (r["reviews"], r["mean_rating"]) for r in metrics.review_timeline(df).collect()}
+    assert months == {"2024-01": (2, 4.25), "2024-02": (1, None), None: (1, 1.0)}
 
 
 def test_crawl_plan_and_gap(spark):

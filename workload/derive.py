@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinia.constants import (
-    CHALLENGE_MARKERS, ERROR_MARKERS, LOGIN_MARKERS, MARKETS, SIGN_IN_INVITATIONS,
+    CHALLENGE_MARKERS, ERROR_MARKERS, LOGIN_MARKERS, MARKETS, NEXT_LINK_LABELS,
+    SIGN_IN_INVITATIONS,
     STAR_LABEL_BY_CODE,
 )
 from opinia.functions.urls import generate_review_url
 from opinia.operators.ranking import ordinal
 from opinia.operators.records import typed_reviews
-from opinia.sources.readers import spread
 
 DOMAINS = [f"www.{d}" for d in MARKETS]
 STARS = list(STAR_LABEL_BY_CODE)
@@ -32,12 +32,29 @@ MONTHS_SHOWN = {
 ORD = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 PAGE_SIZE = 10
+BLOCK_FORMS = ['<div data-hook="review">', '<section id="customer_review-x">',
+               '<div data-hook="cmps-review-item">', '<div class="aok-relative review x a-section">', "<p>"]
+BLOCK_ENDS = ["</div>", "</section>", "</div>", "</div>", "</p>"]
+# Pagination as pages write it: forms with a next page, then forms without one.
+NEXT_SHOWN = ['<ul class="a-pagination"><li class="a-last"><a href="/n?pageNumber=2">x</a></li></ul>',
+              *[f'<a aria-label="{label}" href="/n">x</a>' for label in NEXT_LINK_LABELS],
+              '<a data-hook="pagination-bar-next" href="/n">x</a>',
+              '<ul class="a-pagination"><li><a href="/n?pageNumber=3">3</a></li></ul>']
+NEXT_FORMS = [*NEXT_SHOWN,
+              '<ul class="a-pagination"><li class="a-disabled a-last"><a href="/n?pageNumber=2">x</a></li></ul>',
+              '<ul class="a-pagination"><li class="a-last" aria-disabled="true"><a href="/n">x</a></li></ul>',
+              '<ul class="a-pagination"><li class="a-last">x</li></ul>', '<a href="/n?pageNumber=2">elsewhere</a>']
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The sample tables are single files: give each core a part of one."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def pick(values: list[str], index: Column) -> Column:
     """Entry of a short list; NULL past its end."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -184,6 +201,16 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "html", F.concat("html", F.coalesce(cased, F.lit(""))))
 
 
+def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small page per part, in turn with each block container and pagination form."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    opening = pick(BLOCK_FORMS, key % 5)
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
+        key, F.concat(F.lit("<html><body>"), opening, F.lit('<span data-hook="review-body">'), name,
+                      F.lit("</span>"), pick(BLOCK_ENDS, key % 5), pick(NEXT_FORMS, key % len(NEXT_FORMS)),
+                      F.lit("</body></html>")).alias("html"))
+
+
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log read as a log of page runs: a user is a product."""
     user, eid = F.col("user_id"), F.col("event_id")

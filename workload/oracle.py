@@ -6,7 +6,7 @@ Fixed values come from `opinia.constants`; every rule is written again here.
 from __future__ import annotations
 
 from opinia import constants as k
-from workload.derive import DOMAINS, MARKERS, MONTHS_SHOWN, STARS
+from workload.derive import DOMAINS, MARKERS, MONTHS_SHOWN, NEXT_FORMS, NEXT_SHOWN, STARS
 
 SP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 WD = r"[\p{L}\p{N}_]"
@@ -533,7 +533,7 @@ def oracle_sql() -> dict[str, str]:
     o["valid_reviews"] = f"""WITH {TYPED} SELECT {KEY}, review_id FROM typed
       WHERE (review_title <> '' OR review_body <> '') AND (rating IS NULL OR rating BETWEEN 1 AND 5)"""
     o["storable_reviews"] = f"""WITH {TYPED}, t AS (SELECT * REPLACE (
-        CASE WHEN l_linenumber = 3 THEN left(review_body, 600) ELSE review_title END AS review_title,
+        CASE WHEN l_linenumber = 3 THEN review_body ELSE review_title END AS review_title,
         CASE WHEN l_linenumber = 4 THEN NULL ELSE asin END AS asin) FROM typed)
       SELECT l_orderkey, l_linenumber, review_id, CASE WHEN asin IS NULL THEN 'asin missing'
         WHEN length(review_title) > 500 THEN 'review_title too long' END AS problem FROM t"""
@@ -543,6 +543,10 @@ def oracle_sql() -> dict[str, str]:
       SELECT asin, page, pos, review_id, review_title FROM by_content"""
     o["dedup_cross_page"] = f"""WITH {TYPED}, {paged('typed')}, {IN_PAGE}, {greedy('by_content')}
       SELECT asin, page, pos, {REVIEW} FROM survivors"""
+    hot = f"""hot AS (SELECT * REPLACE (CASE WHEN l_orderkey % 3 = 0 THEN 'B000000000' ELSE asin END
+      AS asin) FROM typed)"""
+    o["dedup_cross_page_hot"] = f"""WITH {TYPED}, {hot}, {paged('hot')}, {greedy('paged', 12)}
+      SELECT asin, page, pos, review_id FROM survivors"""
     o["dedup_two_pass"] = f"WITH {TYPED}, {TWO_PASS} SELECT {KEY}, {REVIEW} FROM pass2"
     o["dedup_metrics"] = f"""WITH {TYPED}, {TWO_PASS} SELECT a AS rows_before, b AS rows_after,
       a - b AS removed FROM (SELECT count(*) AS a FROM typed), (SELECT count(*) AS b FROM pass2)"""
@@ -667,7 +671,50 @@ def oracle_sql() -> dict[str, str]:
       WHERE year(l_shipdate) = (SELECT max(year(l_shipdate)) FROM typed)"""
     o["append_to_table"] = f"""WITH {TYPED}, {first('fresh', 'typed', 'review_id',
         f"CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END, {ORD}")}
-      SELECT asin, review_id, review_title, rating, review_date FROM fresh"""
+      SELECT asin, review_id, review_title, rating, review_date,
+        '2024-05-06 07:08:09' AS created_at, '2024-05-06 07:08:09' AS updated_at FROM fresh"""
+
+    o["export_ndjson"] = exported
+    o["export_product_limit"] = f"""WITH {TABLE} SELECT asin, review_id, review_date, rating,
+      'asin,review_id,rating,review_date,created_at' AS columns
+      FROM stored WHERE asin = 'B000000007' ORDER BY {LATEST_ORDER} LIMIT 5"""
+    o["export_page_details"] = o["page_details"]
+    o["migrate_titles_limited"] = f"""WITH {TABLE}, shown AS (SELECT review_id, created_at,
+        CASE WHEN id % 2 = 0 THEN '5 out of 5 stars ' || review_title ELSE review_title END AS title
+        FROM stored),
+      ranked AS (SELECT *, row_number() OVER (ORDER BY created_at, review_id) <= 500
+        AND {strip_title('title')} <> title AS touched FROM shown)
+      SELECT review_id, CASE WHEN touched THEN {strip_title('title')} ELSE title END AS review_title,
+        touched FROM ranked"""
+    o["upsert_reviews"] = f"""WITH {TABLE}, both_sides AS (
+        SELECT review_id, asin, review_title, updated_at, 0 AS fresh FROM stored UNION ALL
+        SELECT CASE WHEN id % 4 = 2 THEN review_id || 'N' ELSE review_id END, asin,
+          review_title || ' v2', updated_at + to_days(CASE WHEN id % 4 = 1 THEN -1 ELSE 1 END), 1
+        FROM stored WHERE id % 4 <> 3)
+      SELECT review_id, asin, review_title FROM both_sides QUALIFY
+        row_number() OVER (PARTITION BY review_id ORDER BY updated_at DESC, fresh DESC) = 1"""
+    o["rating_distribution"] = f"""WITH {TABLE} SELECT asin, CAST(floor(rating) AS INT) AS stars,
+      count(*) AS reviews FROM stored GROUP BY ALL"""
+    o["review_timeline"] = f"""WITH {TABLE} SELECT asin, left(review_date, 7) AS month,
+      count(*) AS reviews, CAST(sum(CAST(rating AS DECIMAL(10,4))) AS DOUBLE)
+        / nullif(count(rating), 0) AS mean_rating FROM stored GROUP BY ALL"""
+    o["url_distinct"] = f"""WITH {LISTED} SELECT line_no, asin, domain FROM listed QUALIFY
+      row_number() OVER (PARTITION BY asin, domain ORDER BY line_no) = 1"""
+    selectors = {0: '[data-hook="review"]', 1: '[id^="customer_review-"]',
+                 2: 'div[data-hook*="review"]', 3: 'div.a-section.review.aok-relative'}
+    o["extract_fallback"] = f"""SELECT p_partkey, {case('p_partkey % 5', selectors)} AS matched_selector,
+      p_name AS body FROM part WHERE p_partkey % 5 < 4"""
+    o["has_next_forms"] = f"""SELECT p_partkey, p_partkey % {len(NEXT_FORMS)} < {len(NEXT_SHOWN)}
+      AS has_next FROM part"""
+    o["ingest_existing"] = f"""WITH {counted}, fresh AS (SELECT * FROM survivors s WHERE NOT EXISTS (
+          SELECT 1 FROM typed t WHERE t.l_linestatus = 'O' AND t.review_id = s.review_id)
+        QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY asin, domain NULLS FIRST,
+          {label_rank(label('star_filter'))}, page, pos) = 1),
+      stored_pages AS (SELECT asin, page, count(*) AS n FROM fresh GROUP BY asin, page)
+      SELECT f.asin, domain, star_filter, f.page, coalesce(c.n, 0) AS reviews_parsed,
+        coalesce(w.n, 0) AS saved FROM (SELECT * FROM page_facts WHERE {USABLE}) f
+      LEFT JOIN per_page c ON c.asin = f.asin AND c.page = f.page
+      LEFT JOIN stored_pages w ON w.asin = f.asin AND w.page = f.page"""
 
     # Product recap (flagship).
     o["product_quality"] = f"""WITH {TYPED}, {TWO_PASS} SELECT asin, count(*) AS reviews,
@@ -685,7 +732,7 @@ def oracle_sql() -> dict[str, str]:
     # The table takes the first writer of an id: pages 1 and 2 arrive first.
     first_writer = first(
         "written", "survivors", "review_id",
-        "page > 2, asin, domain NULLS FIRST, star_filter NULLS FIRST, page, pos")
+        f"page > 2, asin, domain NULLS FIRST, {label_rank(label('star_filter'))}, page, pos")
     o["stream_ingest"] = f"""WITH {kept}, {first_writer}
       SELECT asin, page, pos, review_id, review_title FROM written"""
     o["stream_metrics"] = f"""WITH {RAW}, {paged('raw')}, {PAGE_FACTS} SELECT asin, domain,

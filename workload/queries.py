@@ -46,7 +46,7 @@ def c(name: str):
 
 @query
 def clean_text_docs(spark, sf_dir):
-    documents = readers.spread(derive.table(spark, sf_dir, "documents"), "doc_id")
+    documents = derive.spread(derive.table(spark, sf_dir, "documents"), "doc_id")
     return documents.select(
         "doc_id", text.clean_text(c("text")).alias("value"))
 
@@ -293,6 +293,19 @@ def next_page_url(spark, sf_dir):
         "next_url", urls.next_page_url(c("url")))
 
 
+@query
+def extract_fallback(spark, sf_dir):
+    """Every block selector of the chain, and pages that none of them matches."""
+    extracted = extract.extract_pages(derive.form_pages(spark, sf_dir))
+    return extract.explode_blocks(extracted, strict=True).select("p_partkey", "matched_selector", "body")
+
+
+@query
+def has_next_forms(spark, sf_dir):
+    return extract.extract_pages(derive.form_pages(spark, sf_dir)).select(
+        "p_partkey", extract.has_next().alias("has_next"))
+
+
 # Records and duplicates.
 
 @query
@@ -303,7 +316,7 @@ def valid_reviews(spark, sf_dir):
 @query
 def storable_reviews(spark, sf_dir):
     odd = markets.enrich_product(derive.typed(spark, sf_dir)).withColumns({
-        "review_title": F.when(c("l_linenumber") == 3, F.substring("review_body", 1, 600))
+        "review_title": F.when(c("l_linenumber") == 3, c("review_body"))
         .otherwise(c("review_title")),
         "asin": F.when(c("l_linenumber") != 4, c("asin"))})
     good, bad = records.storable(odd)
@@ -333,6 +346,16 @@ def dedup_cross_page(spark, sf_dir):
     return dedup.dedup_cross_page(rows, ["asin"], ["page", "pos"])
 
 
+@query
+def dedup_cross_page_hot(spark, sf_dir):
+    """A third of all rows in one run, which is worked down in rounds."""
+    rows = derive.typed(spark, sf_dir).withColumn(
+        "asin", F.when(c("l_orderkey") % 3 == 0, F.lit("B000000000")).otherwise(c("asin")))
+    placed = derive.with_pages(rows).select("asin", "page", "pos", *REVIEW)
+    return dedup.dedup_cross_page(placed, ["asin"], ["page", "pos"], group_rows=1000).select(
+        "asin", "page", "pos", "review_id")
+
+
 def _two_pass(spark, sf_dir) -> DataFrame:
     return dedup.dedup_two_pass(derive.typed(spark, sf_dir), ORD, ["asin"])
 
@@ -371,6 +394,14 @@ def page_runs(spark, sf_dir):
     return ingest.ingest_pages(derive.captured_pages(spark, sf_dir)).runs
 
 
+@query
+def ingest_existing(spark, sf_dir):
+    """Page runs against a table that already holds some of the reviews."""
+    existing = derive.typed(spark, sf_dir).filter(c("l_linestatus") == "O")
+    return ingest.ingest_pages(derive.captured_pages(spark, sf_dir), existing).runs.select(
+        "asin", "domain", "star_filter", "page", "reviews_parsed", "saved")
+
+
 @query
 def ingest_recap(spark, sf_dir):
     runs = ingest.ingest_pages(derive.captured_pages(spark, sf_dir)).runs
@@ -511,6 +542,45 @@ def migrate_titles(spark, sf_dir):
         *KEY, "review_title", (c("updated_at") == never).alias("touched"))
 
 
+@query
+def migrate_titles_limited(spark, sf_dir):
+    """The oldest 500 rows are processed; all others come back as they are."""
+    shown = F.concat(F.lit("5 out of 5 stars "), "review_title")
+    old = _reviews_table(spark, sf_dir).withColumn(
+        "review_title", F.when(c("id") % 2 == 0, shown).otherwise(c("review_title")))
+    never = F.to_timestamp(F.lit("9999-01-01 00:00:00"))
+    return maintenance.migrate_titles(old, 500, never).select(
+        "review_id", "review_title", (c("updated_at") == never).alias("touched"))
+
+
+@query
+def upsert_reviews(spark, sf_dir):
+    """Newer, older and new rows against the stored table."""
+    stored = _reviews_table(spark, sf_dir)
+    later = c("updated_at") + F.expr("INTERVAL 1 DAY")
+    earlier = c("updated_at") - F.expr("INTERVAL 1 DAY")
+    changed = stored.filter(c("id") % 4 != 3).withColumns({
+        "review_title": F.concat(c("review_title"), F.lit(" v2")),
+        "review_id": F.when(c("id") % 4 == 2, F.concat("review_id", F.lit("N"))).otherwise(c("review_id")),
+        "updated_at": F.when(c("id") % 4 == 1, earlier).otherwise(later)})
+    return maintenance.upsert(stored, changed).select("review_id", "asin", "review_title")
+
+
+@query
+def rating_distribution(spark, sf_dir):
+    return metrics.rating_distribution(_reviews_table(spark, sf_dir))
+
+
+@query
+def review_timeline(spark, sf_dir):
+    return metrics.review_timeline(_reviews_table(spark, sf_dir))
+
+
+@query
+def url_distinct(spark, sf_dir):
+    return readers.distinct_urls(url_list(spark, sf_dir)).select("line_no", "asin", "domain")
+
+
 @query
 def migrate_metrics(spark, sf_dir):
     return maintenance.migration_metrics(derive.raw_reviews(spark, sf_dir, body=False).select(
@@ -542,8 +612,9 @@ def _exported(spark, sf_dir, fmt: str) -> DataFrame:
     table = _reviews_table(spark, sf_dir).drop("created_at", "updated_at").withColumn(
         "created_at", F.lit(0))
     path = sinks.export_reviews(table, scratch_path(spark, "export"), fmt)
-    back = (readers.read_review_csv(spark, path, _ddl(table))
-            if fmt == "csv" else spark.read.parquet(path))
+    back = {"csv": lambda: readers.read_review_csv(spark, path, _ddl(table)),
+            "ndjson": lambda: spark.read.schema(table.schema).json(path),
+            "parquet": lambda: spark.read.parquet(path)}[fmt]()
     texts = {"review_title", "review_body", "reviewer_name", "variant"}
     return back.select("id", "asin", "domain", "canonical_product_url",
                        *[F.coalesce(n, F.lit("")).alias(n) if n in texts else c(n)
@@ -560,6 +631,28 @@ def export_roundtrip_parquet(spark, sf_dir):
     return _exported(spark, sf_dir, "parquet")
 
 
+@query
+def export_ndjson(spark, sf_dir):
+    return _exported(spark, sf_dir, "ndjson")
+
+
+@query
+def export_product_limit(spark, sf_dir):
+    """One product's newest reviews; columns in the order of the table."""
+    table = _reviews_table(spark, sf_dir).select("review_id", "rating", "review_date", "asin", "created_at")
+    path = sinks.export_reviews(table, scratch_path(spark, "export"), "parquet", "B000000007", 5)
+    back = spark.read.parquet(path)
+    return back.select("asin", "review_id", "review_date", "rating",
+                       F.lit(",".join(back.columns)).alias("columns"))
+
+
+@query
+def export_page_details(spark, sf_dir):
+    details = metrics.page_details(derive.event_runs(spark, sf_dir).drop("event_id"))
+    path = sinks.write_rows(details, scratch_path(spark, "details"), "csv")
+    return readers.read_review_csv(spark, path, _ddl(details))
+
+
 @query
 def last_run_export(spark, sf_dir):
     rows = derive.typed(spark, sf_dir).withColumn("run_id", F.year("l_shipdate"))
@@ -574,9 +667,10 @@ def append_to_table(spark, sf_dir):
     rows = derive.typed(spark, sf_dir)
     for status in ("O", "F"):
         batch = markets.enrich_product(rows.filter(c("l_linestatus") == status))
-        sinks.append_reviews(batch, path, ORD)
+        sinks.append_reviews(batch, path, ORD, F.to_timestamp(F.lit("2024-05-06 07:08:09")))
     return readers.read_reviews(spark, path).select(
-        "asin", "review_id", "review_title", "rating", "review_date")
+        "asin", "review_id", "review_title", "rating", "review_date",
+        c("created_at").cast("string").alias("created_at"), c("updated_at").cast("string").alias("updated_at"))
 
 
 @query
