@@ -735,7 +735,5 @@ def oracle_sql() -> dict[str, str]:
         f"page > 2, asin, domain NULLS FIRST, {label_rank(label('star_filter'))}, page, pos")
     o["stream_ingest"] = f"""WITH {kept}, {first_writer}
       SELECT asin, page, pos, review_id, review_title FROM written"""
-    o["stream_metrics"] = f"""WITH {RAW}, {paged('raw')}, {PAGE_FACTS} SELECT asin, domain,
-      star_filter, max(page) AS pages, count(*) AS captured, CAST(sum(n) AS BIGINT) AS blocks
-      FROM page_facts WHERE {USABLE} GROUP BY asin, domain, star_filter"""
+    o["stream_metrics"] = o["ingest_recap"]
     return o

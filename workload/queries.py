@@ -722,6 +722,7 @@ def stream_ingest(spark, sf_dir):
 
 @query
 def stream_metrics(spark, sf_dir):
-    out, state = scratch_path(spark, "metrics"), scratch_path(spark, "state")
-    _arrivals(spark, sf_dir, lambda s: streams.stream_metrics(s, out, state))
-    return streams.latest_metrics(spark, out, metrics.RUN)
+    kept, out = scratch_path(spark, "kept"), scratch_path(spark, "metrics")
+    state = scratch_path(spark, "state")
+    _arrivals(spark, sf_dir, lambda s: streams.stream_metrics(s, kept, out, state))
+    return streams.stream_recap(spark, out)
