@@ -11,10 +11,17 @@ from opinia.operators.extract import has_next
 from opinia.operators.ranking import ordinal, running
 
 RUN = ["asin", "domain", "star_filter"]
+# What tells the captures of one tranche apart, where pages carry it; it sorts by time.
+RUN_ID = "run_id"
 # Pages of one run that are accumulated in one task.
 PAGE_BUCKET = 4096
 
 
+def run_keys(df: DataFrame) -> list[str]:
+    """The columns that name a run: the tranche, and the run's own id where there is one."""
+    return [RUN_ID, *RUN] if RUN_ID in df.columns else RUN
+
+
 def page_runs(extracted: DataFrame, kept: DataFrame, saved: DataFrame | None = None) -> DataFrame:
     """One row per captured page, pages without reviews included.
 
@@ -22,7 +29,8 @@ def page_runs(extracted: DataFrame, kept: DataFrame, saved: DataFrame | None = N
     were stored (all kept ones in a run that stores nothing).  The announced
     totals are those of the first page so far that showed one.
     """
-    at = [*RUN, "page"]
+    keys = run_keys(extracted)
+    at = [*keys, "page"]
     counts = _per_page(kept, "reviews_parsed", at)
     stored = _per_page(kept if saved is None else saved, "saved", at)
     pages = extracted.select(
@@ -35,7 +43,7 @@ def page_runs(extracted: DataFrame, kept: DataFrame, saved: DataFrame | None = N
         product_review_count(F.col("jsonld_text"), F.col("rating_count_text")).alias("_product"),
     )
     carried = running(
-        pages, RUN, F.floor(F.col("page") / PAGE_BUCKET), ["page"],
+        pages, keys, F.floor(F.col("page") / PAGE_BUCKET), ["page"],
         firsts={"total_reviews_header": F.col("_header"),
                 "product_global_review_count": F.col("_product")},
     ).drop("_header", "_product")

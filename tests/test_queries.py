@@ -21,7 +21,7 @@ QUICK = [
     "merged_stats", "progress_running", "import_alias_dedup", "append_to_table",
     "product_quality", "stream_ingest", "stream_metrics", "dedup_cross_page_hot", "ingest_existing",
     "migrate_titles_limited", "upsert_reviews", "export_ndjson", "export_product_limit",
-    "extract_fallback", "has_next_forms",
+    "extract_fallback", "has_next_forms", "ingest_runs",
 ]
 
 

@@ -242,7 +242,7 @@ def test_tranches_are_written_from_five_to_one(spark):
         [("A", None, star, 1, 0, "R1") for star in ("one_star", "three_star", None, "four_star")],
         "asin string, domain string, star_filter string, page int, pos int, review_id string")
     existing = reviews(spark, review(rid="other"))
-    (row,) = insert_if_absent(rows, existing, first_writer()).collect()
+    (row,) = insert_if_absent(rows, existing, first_writer(rows)).collect()
     assert row["star_filter"] == "four_star"
 
 

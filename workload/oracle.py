@@ -572,6 +572,11 @@ def oracle_sql() -> dict[str, str]:
       FROM (SELECT * FROM page_facts WHERE {USABLE}) f
       LEFT JOIN per_page c ON c.asin = f.asin AND c.page = f.page
       WINDOW w AS (PARTITION BY f.asin ORDER BY f.page ROWS UNBOUNDED PRECEDING)"""
+    # Pages decide one after another, so the first two of a run stand alone.
+    o["ingest_runs"] = f"""WITH p AS ({o['page_runs']})
+      SELECT * REPLACE (duration_s + CASE WHEN page = 1 THEN 1 ELSE 0 END AS duration_s),
+        '2024-01' AS run_id FROM p
+      UNION ALL SELECT *, '2024-02' AS run_id FROM p WHERE page <= 2"""
     o["ingest_recap"] = f"""WITH {counted} SELECT f.asin, domain, {label('star_filter')} AS star_label,
       max(f.page) AS pages, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS reviews_parsed,
       CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS saved

@@ -394,6 +394,16 @@ def page_runs(spark, sf_dir):
     return ingest.ingest_pages(derive.captured_pages(spark, sf_dir)).runs
 
 
+@query
+def ingest_runs(spark, sf_dir):
+    """Two runs over the same products; the first captured its first pages twice."""
+    captured = derive.captured_pages(spark, sf_dir)
+    again = captured.filter("page = 1").withColumn("finished_at", c("finished_at") + F.expr("INTERVAL 1 SECOND"))
+    runs = captured.unionByName(again).withColumn("run_id", F.lit("2024-01")).unionByName(
+        captured.filter("page <= 2").withColumn("run_id", F.lit("2024-02")))
+    return ingest.ingest_pages(runs).runs
+
+
 @query
 def ingest_existing(spark, sf_dir):
     """Page runs against a table that already holds some of the reviews."""
