@@ -27,7 +27,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from opinia.llm.common import bounded_batches, table
+from opinia.llm.common import bounded_batches, in_small_batches, resident, table
 
 #: Unicode white space, and the four separators that only Python adds to it.
 SPACE = re.compile("[\t-\r \u0085   -     　]+")
@@ -51,7 +50,7 @@ SIMPLE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 #: Chunks, words and token pairs that a task remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 ENCODED = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -235,9 +234,8 @@ class OffsetTable:
         return b"".join(parts)[:-1]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return resident(("bpe", path), lambda: Encoder(path))
 
 
 def _encoded(path: str):
@@ -268,7 +266,8 @@ def _digests(path: str):
 
 
 def _columns(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return in_small_batches(
+        docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
 
 
 def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinia.sources.scratch import reliable_checkpoint, scratch_path
 
-__all__ = ["bounded_batches", "cut", "numbers", "reliable_checkpoint", "table", "texts"]
+__all__ = ["bounded_batches", "cut", "in_small_batches", "numbers", "reliable_checkpoint", "resident", "table"]
+
+
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +32,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
-    """Values of a string column, NULL as the empty text."""
-    return [value or "" for value in column.to_pylist()]
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The frame, with Arrow batches of its session cut to `BATCH_ROWS` rows.
+
+    Whole texts cross to Python; at the default of 10,000 rows a batch of long ones
+    takes hundreds of MB on either side.  A smaller setting of the session stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """The one large object that a Python worker keeps from task to task.
+
+    Workers serve the stages of all operators in turn; asking for another object
+    lets the last one go, so their sizes do not add up.
+    """
+    if key not in _resident:
+        _resident.clear()
+        pa.default_memory_pool().release_unused()
+        _resident[key] = make()
+    return _resident[key]
 
 
 def numbers(column: pa.ChunkedArray | pa.Array, dtype=np.int64) -> np.ndarray:

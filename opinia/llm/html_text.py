@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinia.llm.common import bounded_batches, table
+from opinia.llm.common import bounded_batches, in_small_batches, table
 
 #: Share of the best smoothed ratio that a path needs.
 THRESHOLD = 0.15
@@ -221,8 +221,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
             html_column: str = "html") -> DataFrame:
     """One row per page: page_id, url, text and n_chars (code points)."""
-    return pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"),
-                        F.col(html_column).alias("html")).mapInArrow(
+    read = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"),
+                        F.col(html_column).alias("html"))
+    return in_small_batches(read).mapInArrow(
         _extracted, "page_id long, url string, text string, n_chars long")
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinia.llm.common import bounded_batches, cut, numbers, table
+from opinia.llm.common import bounded_batches, cut, in_small_batches, table
 from opinia.llm.html_text import main_text
 from opinia.llm.url_filter import split_url
 
@@ -71,7 +71,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, lang_column: str = "lang", text_column: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages in order and the log likelihood of every bin, from all labelled texts."""
     labelled = docs.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).dropna()
-    counted = labelled.mapInArrow(_counted, COUNTS).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    counted = in_small_batches(labelled).mapInArrow(_counted, COUNTS).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     rows = counted.limit(MAX_LANGUAGES * BINS + 1).toPandas()
     langs = sorted(rows["lang"].unique())
     if len(langs) > MAX_LANGUAGES:
@@ -140,7 +140,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_column: s
     read = pages.select(F.col(id_column).cast("long").alias("page_id"), host.alias("host"),
                         F.when(declared.isin("", *langs), declared).otherwise("other").alias("declared"),
                         F.col(html_column).alias("html"))
-    scored = read.mapInArrow(_scored(likelihood), "page_id long, host string, declared string, text array<double>")
+    scored = in_small_batches(read).mapInArrow(_scored(likelihood), "page_id long, host string, declared string, text array<double>")
     if not size:
         return scored.select("page_id", "host", "declared", F.lit(None).cast("string").alias("lang"),
                              F.lit(0.0).alias("confidence"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinia.llm.buckets import sorted_cells, whole_cells
-from opinia.llm.common import bounded_batches, cut, numbers, table
+from opinia.llm.common import bounded_batches, cut, in_small_batches, numbers, table
 from opinia.llm.components import LINK, components
 
 SHINGLE = 4
@@ -79,8 +79,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and print (the fingerprint as a signed long) of every row."""
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, print long")
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return in_small_batches(texts).mapInArrow(_fingerprints, "doc_id long, print long")
 
 
 def pivots(count: int = PIVOTS, seed: int = SEED) -> np.ndarray:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from opinia.llm.common import bounded_batches, cut, numbers, table
+from opinia.llm.common import bounded_batches, cut, in_small_batches, numbers, table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
 
@@ -162,7 +162,8 @@ def _sums(docs: pa.Table, counts: pa.Table) -> pa.Table:
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_column: str = "doc_id",
                  text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = in_small_batches(
+        docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
     blocks = cut(rows.mapInArrow(_blocks(path, block_bytes), BLOCK), "token-blocks")
     pieces = blocks.select(F.col("block").alias("of"), F.posexplode("pieces").alias("at", "piece"))
     found = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(

@@ -28,7 +28,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinia.llm.common import bounded_batches, table
+from opinia.llm.common import bounded_batches, in_small_batches, resident, table
 
 #: Labelled rows that the classifier is fitted on, at most, and their length.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1200, 4800, 1 << 16
@@ -47,7 +46,7 @@ HEAD, TAIL = b"0123456789abcdefghijklmnopqrstuvwxyz#@", b"#~^`|<>+=@"
 #: A word beginning marks toxic text from so many documents and such log odds.
 LEAST_DOCUMENTS, LEAST_ODDS = 5, 3.5
 BEGINNINGS = range(5, 13)
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 WORD = re.compile(r"\w+")
 SCORED = "doc_id long, score double"
 
@@ -166,9 +165,8 @@ def fit(rows: list[tuple[str, int]]) -> Model | float:
     return Model(toxic, ordinary, *_logistic(calibration, np.array([label for _, label in parts[1]], float)))
 
 
-@lru_cache(maxsize=2)
 def _windows(toxic: bytes, ordinary: bytes) -> Windows:
-    return Windows(toxic, ordinary)
+    return resident(("windows", toxic, ordinary), lambda: Windows(toxic, ordinary))
 
 
 def _batch_scores(model: Model | float, column: pa.Array) -> np.ndarray:
@@ -209,8 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 def score(docs: DataFrame, model: Model | float, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and score of every row."""
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        _scores(model), SCORED)
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return in_small_batches(texts).mapInArrow(_scores(model), SCORED)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,4 +225,4 @@ def keep(docs: DataFrame, model: Model | float, text_column: str = "text", limit
         for batch in bounded_batches(batches, text_column):
             yield batch.filter(pa.array(_batch_scores(model, batch.column(text_column)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
