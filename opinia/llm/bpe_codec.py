@@ -49,7 +49,7 @@ LAST_SIMPLE = "\u0250"
 SIMPLE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
-#: Chunks, words and token pairs that a task remembers.
+#: Chunks, words (of each generation) and token pairs that a task remembers.
 REMEMBERED = 1 << 17
 ENCODED = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -101,16 +101,24 @@ class Vocabulary:
 
 
 class Remembered(dict):
-    """Recent results of a function of short strings; forgets all when full."""
+    """Recent results of a function of short strings, in two generations.
+
+    When the younger one is full it becomes the older one, so what is in frequent
+    use stays.
+    """
 
     def __init__(self, make) -> None:
         super().__init__()
         self.make = make
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, key: str) -> list[int]:
-        made = self.make(key)
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        made = self.older.get(key)
+        if made is None:
+            made = tuple(self.make(key))
         if len(key) <= 64:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[key] = made
         return made
