@@ -102,6 +102,40 @@ def test_mix_places_every_row(spark, edge, nothing):
         source_mixing.mix(docs, {"a": 0.0})
 
 
+def furthest(order, weights):
+    """The largest deviation, over all prefixes, from shares by the weights of the sources that are left."""
+    counts = {s: order.count(s) for s in set(order)}
+    target, done, most = dict.fromkeys(counts, 0.0), dict.fromkeys(counts, 0), 0.0
+    for source in order:
+        unit = 1.0
+        while unit > 1e-9:
+            left = [s for s in counts if target[s] < counts[s] - 1e-9]
+            total = sum(weights[s] for s in left)
+            step = min(unit, *((counts[s] - target[s]) * total / weights[s] for s in left))
+            for s in left:
+                target[s] += step * weights[s] / total
+            unit -= step
+        done[source] += 1
+        most = max(most, *(abs(done[s] - target[s]) for s in counts))
+    return most
+
+
+@pytest.mark.parametrize("counts, weights", [
+    ({"hot": 1900} | {f"s{i}": 190 + i for i in range(19)}, None),  # the share of hot is not a whole part of 200
+    ({f"s{i:03}": 4 for i in range(400)}, {f"s{i:03}": 3 if i % 2 else 1 for i in range(400)}),
+    ({f"s{i:04}": 2 for i in range(1200)}, {f"s{i:04}": 1.5 if i % 3 else 0.5 for i in range(1200)}),
+    ({"a": 900, "b": 900, "rare": 3}, {"a": 1.0, "b": 0.7, "rare": 0.0009}),
+])
+def test_mix_follows_the_weights_as_given(spark, counts, weights):
+    rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    found = source_mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=1).collect()
+    assert sorted((r.doc_id, r.source) for r in found) == rows
+    assert sorted(r.slot for r in found) == list(range(len(rows)))
+    assert all(r.release <= r.slot < r.deadline for r in found)
+    order = [r.source for r in sorted(found, key=lambda r: r.position)]
+    assert furthest(order, weights or {s: n**0.5 for s, n in counts.items()}) < 1 + 1e-6
+
+
 def test_stages_against_brute_force(spark):
     """Every stage on what the one before it kept, over the smallest tables."""
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "encoding"]
