@@ -1,7 +1,7 @@
 """From raw documents to encoded ones: toxicity, exact and near copies, mix, tokens.
 
 Every stage reads all that the one before it kept and returns the columns of
-`documents`; the last returns a row of digests per document.  The two dedup stages
+`documents`; the last returns the digests of every document and its place in the mix.  The two dedup stages
 find their rows again by doc_id: rows that share one go together, and rows without a
 doc_id stay.
 """
@@ -42,13 +42,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order of the mix."""
+    """All documents, laid out in the order of the mix; `encode` states the place of each."""
     return source_mixing.in_mixed_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text of every document."""
-    return bpe_codec.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Digests of ids and decoded text of every document, and its place in the mix.
+
+    Columns: doc_id, source, n_tokens, ids_sha256, decoded_sha256, position, slot, block.
+    Readers of the laid out rows do not keep their order.  The mix depends on doc_id and
+    source alone, so it is the same here as in `mix_sources`.
+    """
+    coded = bpe_codec.digests(docs, public_tokenizers.path("word_bpe_49k.json"), source_column="source")
+    at = source_mixing.mix(docs).select(
+        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), "position", "slot", "block")
+    same = coded["doc_id"].eqNullSafe(at["_mix_id"]) & coded["source"].eqNullSafe(at["_mix_source"])
+    return coded.join(at.hint("merge"), same).select(
+        "doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "position", "slot", "block")
 
 
 STAGES = [

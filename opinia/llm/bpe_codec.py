@@ -34,7 +34,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -267,15 +267,15 @@ def _digests(path: str):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
                  pa.array([sha(codec.decimals.joined(i)) for i in ids]),
-                 pa.array([sha(codec.decode(i)) for i in ids])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                 pa.array([sha(codec.decode(i)) for i in ids]), *batch.columns[2:]],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *batch.schema.names[2:]])
 
     return run
 
 
-def _columns(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _columns(docs: DataFrame, id_column: str, text_column: str, *carried: Column) -> DataFrame:
     return in_small_batches(
-        docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
+        docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *carried))
 
 
 def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -283,9 +283,13 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
     return _columns(docs, id_column, text_column).mapInArrow(_encoded(path), ENCODED)
 
 
-def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The same encoding and decoding with digests in place of ids and texts."""
-    return _columns(docs, id_column, text_column).mapInArrow(_digests(path), DIGESTS)
+def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text",
+            source_column: str | None = None) -> DataFrame:
+    """The same encoding and decoding with digests in place of ids and texts; the source, if named, is carried along."""
+    if source_column is None:
+        return _columns(docs, id_column, text_column).mapInArrow(_digests(path), DIGESTS)
+    source = F.col(source_column).cast("string").alias("source")
+    return _columns(docs, id_column, text_column, source).mapInArrow(_digests(path), DIGESTS + ", source string")
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,29 @@ def test_stages_against_brute_force(spark):
     assert counts == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows[4].items()}
 
 
+def test_rows_of_the_pipeline_follow_the_mix(spark):
+    """What run() returns, in order of position, holds the target weights, and so does its beginning."""
+    found = sorted(corpus_pipeline.run(spark, ROOT).collect(), key=lambda r: r.position)
+    counts = {s: sum(r.source == s for r in found) for s in {r.source for r in found}}
+    placed = [(r.slot, r.block, r.source) for r in found]
+    assert all(r.position // source_mixing.BLOCK_ROWS == r.slot for r in found)
+    blocks = [source for _, _, source in sorted(set(placed))]
+    assert len(blocks) == len({r.slot for r in found}) == sum(-(-n // source_mixing.BLOCK_ROWS) for n in counts.values())
+    assert furthest(blocks, {s: n**0.5 for s, n in counts.items()}) < 1 + 1e-6
+
+
+def test_encoding_states_the_place_of_every_row(spark):
+    rows = [(i, f"text {i}", "hot" if i % 3 else f"s{i % 5}") for i in range(1500)] + [(None, "x", None), (None, "y", "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = corpus_pipeline.encode(spark, docs, ROOT).collect()
+    assert sorted((str(r.doc_id), str(r.source)) for r in found) == sorted((str(i), str(s)) for i, _, s in rows)
+    weights = {s: sum(r.source == s for r in found) ** 0.5 for s in {r.source for r in found}}
+    blocks = [s for _, s in sorted({(r.slot, r.source) for r in found}, key=lambda b: b[0])]
+    assert furthest(blocks, weights) < 1 + 1e-6
+    order = [r.position for r in found if r.doc_id is not None]
+    assert len(set(order)) == len(order)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     import duckdb
