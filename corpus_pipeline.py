@@ -2,8 +2,8 @@
 
 Every stage reads all that the one before it kept and returns the columns of
 `documents`; the last returns the digests of every document and its place in the mix.  The two dedup stages
-find their rows again by doc_id: rows that share one go together, and rows without a
-doc_id stay.
+give every row a key of its own and keep one row of each group, so rows that share a
+doc_id, or have none, are judged by their texts.
 """
 
 from __future__ import annotations
@@ -16,10 +16,17 @@ from opinia.llm import bpe_codec, exact_dedup, simhash_dedup, source_mixing, tox
 from opinia.llm.common import cut, table
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among those of `gone`."""
-    ids = gone.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a written key of their own, `_row`."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def _one_per_group(keyed: DataFrame, found: DataFrame, group: str) -> DataFrame:
+    """Of the rows of each group, the one with the smallest doc_id; missing ones come last, ties go by `_row`."""
+    groups = found.select(F.col("doc_id").alias("_row"), F.col(group).alias("_group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = keyed.select("_row", "doc_id").join(groups, "_row").groupBy("_group").agg(F.min(order)["_row"].alias("_row"))
+    return keyed.join(first, "_row", "left_semi").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +37,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest doc_id."""
-    found = exact_dedup.exact_dedup(docs, exact_dedup.arrived_before(docs))
-    return _without(docs, found.filter(~F.col("kept")))
+    keyed = _keyed(docs)
+    found = exact_dedup.exact_dedup(keyed, exact_dedup.arrived_before(keyed), id_column="_row")
+    return _one_per_group(keyed, found, "keep_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id."""
-    found = simhash_dedup.simhash_dedup(docs)
-    gone = found.filter(F.col("doc_id") != F.col("component_id"))
-    return _without(docs, gone)
+    keyed = _keyed(docs)
+    return _one_per_group(keyed, simhash_dedup.simhash_dedup(keyed, id_column="_row"), "component_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,6 +160,18 @@ def test_stages_against_brute_force(spark):
     assert counts == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows[4].items()}
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies])
+def test_dedup_stages_judge_rows_and_not_ids(spark, stage):
+    first, second, third = ("the quick brown fox jumps over one lazy dog", "numbers and letters stand in long straight rows here",
+                            "somewhere else entirely it rained for seven whole days")
+    rows = [(1, first), (5, first), (5, second), (None, second), (None, third), (None, third), (7, "a b c d e f"), (7, "a b c d e f")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    kept = stage(spark, docs, ROOT)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(
+        map(str, [(1, first), (5, second), (None, third), (7, "a b c d e f")]))
+
+
 def test_rows_of_the_pipeline_follow_the_mix(spark):
     """What run() returns, in order of position, holds the target weights, and so does its beginning."""
     found = sorted(corpus_pipeline.run(spark, ROOT).collect(), key=lambda r: r.position)
