@@ -2,14 +2,18 @@
 
 The text nodes of a page are grouped by their path of tags from the root.  A path
 has a text ratio (characters per node) and a punctuation ratio (marks per node),
-which are fused, lowered by the share of link text and, where the page marks an
-article, outside of it.  Values are smoothed along the page, averaged per path and
+which are fused, lowered by the share of link text, by telling names and, where the
+page marks an article, outside of it.  Values are smoothed along the page, averaged per path and
 compared with a share of the best one.  All nodes of a path stand or fall together,
 so a short paragraph stays with the long ones.  What lies in the same container as
 chosen paths, between them or as a heading before them, belongs to the text too.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out by their tags, roles, classes and ids.
+Menus, headers, footers, asides, dialogs, scripts, styles and what is hidden are left
+out by their tags, roles and attributes.  Forms and elements with a class or id that is,
+as a whole, a name of sidebars, notices, adverts or reader comments have paths of their
+own with a low factor, so they are text where nothing else is.  Names of headings, of
+the article and of what wraps the page say nothing, nor does a form that holds most of
+the text.  A page of which all is left out is read again with everything in it.
 
 A page is one row; pages are spread over tasks by size alone, and nothing of a page
 is capped.  Defined results: NULL and empty html give an empty text; unclosed and
@@ -36,6 +40,8 @@ from opinia.llm.common import bounded_batches, in_small_batches, table
 THRESHOLD = 0.15
 #: Factor on paths outside the marked article of a page.
 OUTSIDE = 0.05
+#: Factor on paths within an element whose name or tag speaks against it.
+NAMED = 0.05
 #: Smoothing weights of a node and of its neighbours on either side.
 KERNEL = (0.25, 0.5, 0.25)
 
@@ -45,7 +51,6 @@ TOKEN = re.compile(
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¡¿]")
-NAME = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby "
@@ -55,30 +60,39 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
         "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl select td th article section div main body html aside nav footer header form "
                    "blockquote".split())
-NOT_CONTENT = frozenset("head nav footer aside form button select dialog menu svg math canvas object audio video".split())
-NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
-NOT_CONTENT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
-    "gdpr notice notices popup modal overlay newsletter subscribe subscription paywall signup login sidebar menu nav "
-    "navbar navigation breadcrumb breadcrumbs footer header masthead toolbar share sharing social related recommended "
-    "recommendations widget widgets comment comments commentlist reply replies disqus respond pagination pager search "
-    "form hidden".split())
+NO_TEXT = frozenset("head button select svg math canvas object audio video".split())
+NOT_CONTENT = NO_TEXT | frozenset("nav footer aside dialog menu".split())
+NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar".split())
+#: Whole classes and ids, with underscores read as hyphens.
+NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising ad-container ad-slot ad-banner sponsor sponsored promo promotion "
+    "banner cookie cookies consent cookie-notice cookie-banner cookie-bar cookie-consent gdpr notice notices popup modal "
+    "overlay newsletter newsletter-signup subscribe subscription paywall signup login sidebar side-bar left-sidebar "
+    "right-sidebar menu main-menu nav nav-menu main-nav navbar navigation site-navigation breadcrumb breadcrumbs footer "
+    "site-footer page-footer header site-header masthead toolbar share sharing share-buttons social social-share "
+    "social-links related related-posts related-articles recommended recommendations widget widgets widget-area comment "
+    "comments commentlist comment-list comments-area comments-section comment-form user-comments reader-comments reply "
+    "replies disqus disqus-thread respond pagination pager search search-form searchform form hidden".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
+#: Elements whose classes and ids say nothing.
+UNNAMED = HEADINGS | ARTICLE | {"body", "html"}
 
 
 class Node:
     """A run of text of one block, where it stands, and what of it are links."""
 
-    __slots__ = ("text", "path", "parent", "links", "inside", "heading")
+    __slots__ = ("text", "path", "parent", "links", "inside", "heading", "named", "form")
 
-    def __init__(self, text: str, path: str, parent: str, links: int, inside: bool, heading: bool) -> None:
+    def __init__(self, text: str, path: str, parent: str, links: int, inside: bool, heading: bool, named: bool,
+                 form: int) -> None:
         self.text, self.path, self.parent = text, path, parent
         self.links, self.inside, self.heading = links, inside, heading
+        self.named, self.form = named, form
 
 
 def _left_out(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no content by its tag, role, class or id."""
+    """Whether an element is no content by its tag or role, or hidden."""
     if tag in NOT_CONTENT or tag == "header" and not inside:
         return True
     if not attributes:
@@ -90,17 +104,25 @@ def _left_out(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") \
-                and not NOT_CONTENT_NAMES.isdisjoint(NAME.findall(value)):
-            return not (inside and tag == "header")
     return False
 
 
-def text_nodes(source: str) -> list[Node]:
-    """The text nodes of a page that may be content, in order, one per block."""
+def _named(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether a class or id of an element speaks against its being content."""
+    if not attributes or tag in UNNAMED or inside and tag == "header":
+        return False
+    return any(name.lower() in ("class", "id") and not NAMES.isdisjoint("".join(values).lower().replace("_", "-").split())
+               for name, *values in ATTRIBUTE.findall(attributes))
+
+
+def text_nodes(source: str, everything: bool = False) -> list[Node]:
+    """The text nodes of a page that may be content, or all of them, in order, one per block."""
     nodes: list[Node] = []
     stack: list[str] = []  # open elements
     dead = 0  # height of the stack at the element that is left out, or 0
+    named = 0  # the same for the outermost element with a telling name
+    form = 0  # and for the outermost form
+    forms = 0  # outermost forms so far
     pieces: list[str] = []
     links = 0
 
@@ -111,16 +133,23 @@ def text_nodes(source: str) -> list[Node]:
         if text:
             blocks = [t for t in stack if t not in INLINE]
             nodes.append(Node(text, "/".join(stack), "/".join(blocks[:-1]), min(links, len(text)),
-                              not ARTICLE.isdisjoint(stack), not HEADINGS.isdisjoint(stack)))
+                              not ARTICLE.isdisjoint(stack), not HEADINGS.isdisjoint(stack), named > 0,
+                              forms if form else 0))
         links = 0
 
     def close(height: int) -> None:
-        nonlocal dead
+        nonlocal dead, named, form
         if any(t not in INLINE for t in stack[height:]):
             flush()
+        elif named > height:  # an inline element with a name is a node of its own
+            flush()
         del stack[height:]
         if dead > height:
             dead = 0
+        if named > height:
+            named = 0
+        if form > height:
+            form = 0
 
     def keep(text: str) -> None:
         nonlocal links
@@ -159,11 +188,35 @@ def text_nodes(source: str) -> list[Node]:
         if tag in VOID or token.group(4).endswith("/") and tag not in SCOPES and tag != "p":
             continue
         stack.append(tag)
-        if not dead and _left_out(tag, token.group(4), not ARTICLE.isdisjoint(stack[:-1])):
+        if dead:
+            continue
+        inside = not ARTICLE.isdisjoint(stack[:-1])
+        if tag in NO_TEXT if everything else _left_out(tag, token.group(4), inside):
             flush()
             dead = len(stack)
+        elif not named and _named(tag, token.group(4), inside):
+            stack.pop()
+            flush()
+            stack.append(tag)
+            named = len(stack)
+        if tag == "form" and not form:
+            forms += 1
+            form = len(stack)
     keep(source[at:])
     flush()
+    return weighed(nodes)
+
+
+def weighed(nodes: list[Node]) -> list[Node]:
+    """The nodes, where those of forms are named as well, unless the form has most of the text; named paths are marked."""
+    sizes: dict[int, int] = defaultdict(int)
+    for n in nodes:
+        sizes[n.form] += len(n.text) - n.links
+    total = sum(sizes.values())
+    for n in nodes:
+        n.named = n.named or n.form > 0 and 2 * sizes[n.form] <= total
+        if n.named:
+            n.path, n.parent = "!" + n.path, "!" + n.parent
     return nodes
 
 
@@ -174,7 +227,7 @@ def path_ratios(nodes: list[Node]) -> dict[str, float]:
     prior = {}
     for n in nodes:
         sums[n.path] += (1, len(n.text), len(PUNCTUATION.findall(n.text)), n.links)
-        prior[n.path] = 1.0 if n.inside or not marked else OUTSIDE
+        prior[n.path] = (1.0 if n.inside or not marked else OUTSIDE) * (NAMED if n.named else 1.0)
     return {path: float(prior[path] * np.sqrt(size / count * (1 + marks / count)) * (1 - links / size))
             for path, (count, size, marks, links) in sums.items()}
 
@@ -187,14 +240,15 @@ def smoothed(nodes: list[Node], ratios: dict[str, float]) -> dict[str, float]:
     marked = any(n.inside for n in nodes)
     found: dict[str, list[float]] = defaultdict(list)
     for n, value in zip(nodes, values, strict=True):
-        weight = (1.0 if n.inside or not marked else OUTSIDE) * (1 - n.links / len(n.text))  # not from neighbours
+        weight = (1.0 if n.inside or not marked else OUTSIDE) * (NAMED if n.named else 1.0)  # not from neighbours
+        weight *= 1 - n.links / len(n.text)
         found[n.path].append(float(value) * weight)
     return {path: sum(v) / len(v) for path, v in found.items()}
 
 
 def main_text(source: str) -> str:
     """The text of the chosen nodes, joined by single spaces."""
-    nodes = text_nodes(source)
+    nodes = text_nodes(source) or text_nodes(source, everything=True)
     if not nodes:
         return ""
     values = smoothed(nodes, path_ratios(nodes))
@@ -206,7 +260,7 @@ def main_text(source: str) -> str:
     marked = any(n.inside for n in nodes)
     return " ".join(
         n.text for i, n in enumerate(nodes)
-        if chosen[i] or marked and n.inside
+        if chosen[i] or marked and n.inside and not n.named
         or held[i] and (first < i < last and n.links < len(n.text) or n.heading and i < first))
 
 

@@ -76,6 +76,28 @@ def test_main_text(case):
     assert html_text.main_text(source or "") == expected
 
 
+PROSE = "Long enough text, with marks. And more of it, so on and on; it does not end here."
+KEPT = [
+    (f"<div class='overflow-hidden md:hidden'><p>{PROSE}</p></div>", PROSE),
+    (f"<div class='page no-sidebar'><h1>T</h1><p>{PROSE}</p></div><div class='sidebar'><p>Buy, now.</p></div>", "T " + PROSE),
+    (f"<div class='elementor-widget'><p>{PROSE}</p></div><div class='elementor-widget'><p>{PROSE}</p></div>", f"{PROSE} {PROSE}"),
+    (f"<article><div class='article-header'><h1>Title</h1></div><p>{PROSE}</p><h2 id='related-work'>Related work</h2><p>{PROSE}</p>"
+     f"<h2 id='search'>Search</h2><p>{PROSE}</p></article>", f"Title {PROSE} Related work {PROSE} Search {PROSE}"),
+    (f"<body><div><a href='/'>Site</a></div><form id=f action=/><div><p>{PROSE}</p><p>{PROSE}</p></div></form></body>", f"{PROSE} {PROSE}"),
+    (f"<div class=widget><p>{PROSE}</p></div>", PROSE),
+    (f"<aside><p>{PROSE}</p></aside>", PROSE),
+    (f"<div><p>{PROSE}</p><p>{PROSE}</p></div><div class='x ad'><p>{PROSE}</p></div><div id=user_comments><p>{PROSE}</p></div>"
+     f"<form><p>Write to us, please.</p></form>", f"{PROSE} {PROSE}"),
+    (f"<article><p>{PROSE}</p><div class=ad><p>{PROSE}</p></div><p>{PROSE}</p></article>", f"{PROSE} {PROSE}"),
+]
+
+
+@pytest.mark.parametrize("case", range(len(KEPT)))
+def test_names_lower_but_do_not_delete(case):
+    source, expected = KEPT[case]
+    assert html_text.main_text(source) == expected
+
+
 def test_extract(spark):
     rows = [(i % 7, f"u{i}", source, "t", 1) for i, (source, _) in enumerate(CASES)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, path int").repartition(3)
