@@ -1,14 +1,14 @@
-"""Language of pages by fusing text, declared language, address suffix and host.
+"""Language of pages by fusing text, declared language and a prior of suffix, domain and host.
 
 The text likelihood is multinomial over hashed byte trigrams, learnt from labelled
-documents.  A page's text, markup (`<html lang>`, content-language) and address
-suffix are conditionally independent given its language:
+documents.  A page's text and markup (`<html lang>`, content-language) are
+conditionally independent given its language:
 
-    log P(l | page) = log P(l | host) + log P(text | l) + log P(declared | l)
-                      + log P(suffix | l) + constant
+    log P(l | page) = log P(l | host) + log P(text | l) + log P(declared | l) + constant
 
-P(declared | l) and P(suffix | l) come from one grouped aggregation of the text
-posteriors, smoothed towards the marginal.  P(l | host) is smoothed from level to
+P(declared | l) comes from a grouped aggregation of the text posteriors, smoothed
+towards the marginal.  The address suffix is no evidence of its own: it is the top level
+of the prior below, and weighs little on hosts with many pages.  P(l | host) is smoothed from level to
 level: all pages, address suffix, registered domain, host; each level adds the soft
 counts of its group to `PRIOR_WEIGHT` times the prior of the level above.  A page's
 own text is taken out of its group's counts, so it is not used twice.
