@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from opinia.llm import (
-    bpe_codec, embedding_dedup, exact_dedup, html_text, lang_id, simhash_dedup, source_mixing, token_counts, toxicity,
+    bpe_codec, embedding_dedup, exact_dedup, html_text, lang_id, quality_rules, simhash_dedup, source_mixing, token_counts, toxicity,
     url_filter,
 )
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
 }
 
 ORACLE_SQL = {
