@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinia.sources.scratch import reliable_checkpoint, scratch_path
 
-__all__ = ["bounded_batches", "cut", "in_small_batches", "numbers", "reliable_checkpoint", "resident", "table"]
+__all__ = ["bounded_batches", "crc32_sql", "cut", "in_small_batches", "numbers", "reliable_checkpoint", "resident", "table"]
 
 
 #: Rows of an Arrow batch of texts.
@@ -81,3 +81,11 @@ def bounded_batches(batches: Iterator[pa.RecordBatch], column: str,
         for start, stop in zip([0, *edges], [*edges, batch.num_rows], strict=True):
             if stop > start:
                 yield batch.slice(start, stop - start)
+
+
+def crc32_sql(value: str) -> str:
+    """DuckDB has no CRC-32: the register is shifted once per bit, lowest bits first."""
+    bits = (f"flatten(list_transform(string_split({value}, ''), lambda ch: "
+            "list_transform(range(8), lambda k: (ascii(ch) >> k) & 1)))")
+    step = "xor(c >> 1, CASE WHEN (c & 1) <> b THEN 3988292384 ELSE 0 END)"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, b: {step}), 4294967295::BIGINT)")

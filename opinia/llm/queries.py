@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from opinia.llm import (
-    bpe_codec, embedding_dedup, exact_dedup, html_text, lang_id, quality_rules, simhash_dedup, source_mixing, token_counts, toxicity,
+    bpe_codec, embedding_dedup, exact_dedup, html_text, lang_id, merkle_manifest, prefix_trie,
+    quality_rules, simhash_dedup, source_mixing, token_counts, toxicity,
     url_filter,
 )
 
@@ -19,9 +20,13 @@ QUERIES = {
     "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
     "op11_quality_rules": quality_rules.op11_quality_rules,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op3_url_filter": url_filter.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_merkle_manifest": merkle_manifest.SQL,
 }
