@@ -4,7 +4,9 @@ Two multinomials over `BUCKETS` hashed word unigrams and bigrams are counted, on
 trusted documents (labelled of good quality) and one over the whole raw corpus.  A
 document's score is the sum of log(trusted / raw) over its n-grams divided by their
 number, so its length does not matter.  Every document is judged by one threshold: the
-score that all but `REJECTED` of the trusted documents reach.
+score that all but `REJECTED` of the trusted documents reach.  A document that was counted
+as trusted scores higher for that alone, so half of the trusted ones, by hash of doc_id, are
+counted and the threshold is taken from the other half.
 
 Everything is a built-in expression; no Python runs on the way.  A text is split once and
 judged inside its row: no n-gram is shuffled but as counts of at most `BUCKETS` buckets,
@@ -12,7 +14,7 @@ summed before the shuffle.  The ratios, a table of `BUCKETS` whole numbers, are
 plan.  They are kept in micro-nats, so sums are exact in any order, and the threshold comes
 from a histogram of scores: the same rows give the same verdicts however they are dealt.
 
-The trusted multinomial is fitted on at most `TRUSTED_ROWS` labelled documents, by hash
+The trusted multinomial is fitted on at most `TRUSTED_ROWS` documents of its half, by hash
 order of doc_id; raw counts, threshold and verdicts cover all documents.
 
 Defined results: NULL and empty texts have no words and fail the base rules; a document
@@ -101,14 +103,17 @@ def ngram_buckets(parts: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(single, double)
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """At most so many doc_ids of good quality, by hash order."""
-    return good_ids(labels).orderBy(F.xxhash64("trusted"), "trusted").limit(most)
+def trusted_ids(labels: DataFrame, counted: bool) -> DataFrame:
+    """doc_ids of good quality: the half that is counted, or the half that sets the threshold."""
+    ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("trusted"))
+    half = F.pmod(F.xxhash64("trusted", F.lit("half")), F.lit(2)) == int(counted)
+    return ids.filter(half).distinct()
 
 
-def good_ids(labels: DataFrame) -> DataFrame:
-    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("trusted")).distinct()
+def fit_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
+    """At most so many of the counted half, by hash order."""
+    return trusted_ids(labels, True).orderBy(F.xxhash64("trusted"), "trusted").limit(most)
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -174,9 +179,9 @@ def threshold(scored: DataFrame, trusted: DataFrame, rejected: float = REJECTED)
 def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                   rejected: float = REJECTED) -> DataFrame:
     """One row per document: doc_id, base counts, base_failed, score (nats an n-gram), kept."""
-    known = ratios(docs, trusted_ids(labels), id_column, text_column)
+    known = ratios(docs, fit_ids(labels), id_column, text_column)
     scored = cut(judged(docs, known, id_column, text_column), "quality")
-    limit = threshold(scored, good_ids(labels), rejected)
+    limit = threshold(scored, trusted_ids(labels, False), rejected)
     passed = F.lit(True) if limit is None else F.col("score") >= limit
     return scored.select("doc_id", *BASE, "base_failed", (F.col("score") / SCALE).alias("score"),
                          (~F.col("base_failed") & passed).alias("kept"))
