@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from opinia.functions.text import canonical_review_id, content_key, content_pair, let
 from opinia.functions.urls import review_id_from_url
+from opinia.operators.components import components
 from opinia.operators.ranking import keep_first
-from opinia.sources.scratch import reliable_checkpoint
+from opinia.sources.scratch import reliable_checkpoint, written
 
-# A run with more distinct (id, content) rows than this is deduplicated in
-# distributed rounds; up to it, one ordered pass in one task is cheap.
+# A run with more distinct (id, content) rows than this is cut into the components
+# of its keys before the ordered pass; a smaller one is one component as it is.
 ORDERED_PASS_ROWS = 200_000
+# Rounds that decide rows of such runs beforehand, which lets components fall apart.
+ROUNDS = 3
 
 
 def dedup_page_id(df: DataFrame, scope: list[str], page: str = "page",
@@ -64,24 +67,26 @@ def dedup_cross_page(df: DataFrame, scope: list[str], order: list[str],
     """Greedy rule over a run: drop a row whose id or content was seen on an
     earlier *kept* row; a dropped row leaves no trace.
 
-    `order` must be unique within `scope`.  Everything is decided on narrow keys
-    (place, id, hash of the content); the rows themselves are joined once, at the
-    end.  Rows equal in both id and content collapse to the first beforehand,
-    which is what the greedy rule does.  Runs of up to `group_rows` remaining keys
-    go through one ordered pass; larger ones are worked down in rounds (see
-    `_rounds`).  Both give the same rows.
+    `order` must be unique within `scope`.  The input is evaluated once and written;
+    everything is decided on narrow keys (place, id, hash of the content) read from there,
+    and the rows are joined once, at the end.  Rows equal in both id and content collapse
+    to the first beforehand, which is what the rule does.
+
+    Rows that share no key, not even by way of others, cannot decide each other.  So one
+    ordered pass goes through groups of rows with common keys: a run of up to `group_rows`
+    keys is such a group as a whole, larger ones are cut into the components of the graph
+    of their ids and contents (see `_large_groups`).
     """
+    rows = written(df, "rows")
     pair = content_pair(F.col("review_title"), F.col("review_body"))
-    places = df.select(*scope, *order, "review_id", pair.alias("_pair"))
+    places = rows.select(*scope, *order, "review_id", pair.alias("_pair"))
     keys = reliable_checkpoint(keep_first(places, [*scope, "review_id", "_pair"], order))
-    large = _large_scopes(keys, scope, group_rows)
-    if large.isEmpty():
-        kept = _ordered_pass(keys, scope, order)
-    else:
-        small = _semi(keys, large, scope, "left_anti")
-        kept = _ordered_pass(small, scope, order).unionByName(
-            _rounds(_semi(keys, large, scope, "left_semi"), scope, order, group_rows))
-    return _semi(df, kept, [*scope, *order], "left_semi")
+    large = reliable_checkpoint(_large_scopes(keys, scope, group_rows))
+    group = F.xxhash64(*scope).alias("_group")
+    grouped = _semi(keys, large, scope, "left_anti").select("*", group)
+    won, open_rows = _large_groups(_semi(keys, large, scope, "left_semi"), large, scope, order)
+    kept = _ordered_pass(grouped.unionByName(open_rows), scope, order).drop("_group").unionByName(won)
+    return _semi(rows, kept, [*scope, *order], "left_semi")
 
 
 def dedup_two_pass(df: DataFrame, order: list[str], scope: list[str] | None = None) -> DataFrame:
@@ -140,7 +145,7 @@ def _matches(df: DataFrame, columns: list[str]) -> Column:
 
 
 def _ordered_pass(df: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
-    """Greedy rule in one scan of each partition, sorted by scope and order.
+    """Greedy rule in one scan of each partition, sorted by group, scope and order.
 
     Rows stay Arrow columns; Python sees only the scope and the two keys.
     """
@@ -148,7 +153,7 @@ def _ordered_pass(df: DataFrame, scope: list[str], order: list[str]) -> DataFram
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, pairs = None, set(), set()
         for batch in batches:
-            scopes = zip(*[batch.column(c).to_pylist() for c in scope])
+            scopes = zip(*[batch.column(c).to_pylist() for c in ("_group", *scope)])
             keep = []
             for s, rid, pair in zip(scopes, batch.column("review_id").to_pylist(),
                                     batch.column("_pair").to_pylist()):
@@ -163,34 +168,43 @@ def _ordered_pass(df: DataFrame, scope: list[str], order: list[str]) -> DataFram
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return (
-        df.repartition(*scope)
-        .sortWithinPartitions(*scope, *order)
+        df.repartition("_group")
+        .sortWithinPartitions("_group", *scope, *order)
         .mapInArrow(greedy, df.schema)
     )
 
 
-def _rounds(keys: DataFrame, scope: list[str], order: list[str], group_rows: int) -> DataFrame:
-    """Keys kept by the greedy rule in runs too large for one task.
+def _large_groups(keys: DataFrame, large: DataFrame, scope: list[str],
+                  order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Keys of large runs: those certainly kept, and the open ones with their `_group`.
 
-    A row that is first for its id and first for its content among the rows
-    still open is certainly kept, and every open row sharing either key with
-    it certainly dropped.  Rounds repeat that on narrow keys until what is left
-    of each run fits the ordered pass, so no row is decided approximately.
-    Rows without an id are bound by their content only.
+    A row that is first for its id and first for its content among the open rows is
+    certainly kept, and every open row sharing either key with it certainly dropped.  A few
+    rounds of that leave components that are small as a rule; a chain in which every kept
+    row decides the next stays one component and is one task's work, on narrow keys.  Rows
+    without an id are bound by their content only.
     """
-    where = [*scope, *order]
-    open_rows, kept = keys, None
-    while True:
-        with_id = open_rows.filter(F.col("review_id").isNotNull() & (F.col("review_id") != ""))
-        no_id = open_rows.filter(F.col("review_id").isNull() | (F.col("review_id") == ""))
-        first_id = keep_first(with_id, [*scope, "review_id"], order).unionByName(no_id)
-        first_pair = keep_first(open_rows, [*scope, "_pair"], order)
-        won = reliable_checkpoint(_semi(first_pair, first_id, where, "left_semi"))
-        kept = won if kept is None else kept.unionByName(won)
-        open_rows = drop_sharing(open_rows, won, [*scope, "review_id"])
-        open_rows = reliable_checkpoint(drop_sharing(open_rows, won, [*scope, "_pair"]))
-        if _large_scopes(open_rows, scope, group_rows).isEmpty():
-            return kept.unionByName(_ordered_pass(open_rows, scope, order))
+    won, open_rows = keys.filter("false"), keys
+    if not large.isEmpty():
+        for _ in range(ROUNDS):
+            with_id = open_rows.filter(F.coalesce("review_id", F.lit("")) != "")
+            no_id = open_rows.filter(F.coalesce("review_id", F.lit("")) == "")
+            first_id = keep_first(with_id, [*scope, "review_id"], order).unionByName(no_id)
+            first_pair = keep_first(open_rows, [*scope, "_pair"], order)
+            kept = reliable_checkpoint(_semi(first_pair, first_id, [*scope, *order], "left_semi"))
+            won = won.unionByName(kept)
+            open_rows = drop_sharing(open_rows, kept, [*scope, "review_id"])
+            open_rows = reliable_checkpoint(drop_sharing(open_rows, kept, [*scope, "_pair"]))
+    text = F.xxhash64(F.lit("content"), *scope, "_pair")
+    has_id = F.coalesce("review_id", F.lit("")) != ""
+    # Hashes that meet by chance only join components, which decides nothing.
+    links = open_rows.select(text.alias("a"), F.when(
+        has_id, F.xxhash64(F.lit("id"), *scope, "review_id")).otherwise(text).alias("b"))
+    if large.isEmpty():
+        return won, open_rows.withColumn("_group", text)
+    named = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_group"))
+    placed = open_rows.withColumn("_node", text).join(named, "_node").drop("_node")
+    return won, placed
 
 
 def drop_sharing(rows: DataFrame, won: DataFrame, keys: list[str]) -> DataFrame:

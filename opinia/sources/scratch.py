@@ -37,3 +37,10 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and cut the lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: evaluated once, read by columns from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

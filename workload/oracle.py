@@ -258,11 +258,12 @@ PAIR = f"{clean('review_title')} || chr(31) || {clean('review_body')}"
 
 
 def greedy(source: str, rounds: int = 8) -> str:
-    """The cross-page rule as unrolled rounds; `survivors` is the result."""
-    parts = [f"g0 AS MATERIALIZED (SELECT *, {PAIR} AS pair FROM {source})"]
+    """The cross-page rule as unrolled rounds on narrow keys; `survivors` is the result."""
+    at = "asin, page, pos"
+    parts = [f"g0 AS MATERIALIZED (SELECT {at}, review_id, sha256({PAIR}) AS pair FROM {source})"]
     for i in range(rounds):
         parts.append(
-            f"w{i} AS MATERIALIZED (SELECT * FROM (SELECT *, "
+            f"w{i} AS MATERIALIZED (SELECT {at}, review_id, pair FROM (SELECT *, "
             f"row_number() OVER (PARTITION BY asin, review_id ORDER BY page, pos) AS a, "
             f"row_number() OVER (PARTITION BY asin, pair ORDER BY page, pos) AS b FROM g{i}) "
             f"WHERE a = 1 AND b = 1)")
@@ -270,10 +271,11 @@ def greedy(source: str, rounds: int = 8) -> str:
             f"g{i + 1} AS MATERIALIZED (SELECT * FROM g{i} g WHERE NOT EXISTS (SELECT 1 FROM w{i} w "
             f"WHERE w.asin = g.asin AND w.review_id = g.review_id) AND NOT EXISTS (SELECT 1 FROM "
             f"w{i} w WHERE w.asin = g.asin AND w.pair = g.pair))")
-    union = " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(rounds))
+    union = " UNION ALL ".join(f"SELECT {at} FROM w{i}" for i in range(rounds))
     # Rows still open after the last round would show up as a mismatch.
-    rest = f"SELECT *, 0 AS a, 0 AS b FROM g{rounds}"
-    return ",\n".join([*parts, f"survivors AS ({union} UNION ALL {rest})"])
+    rest = f"SELECT {at} FROM g{rounds}"
+    return ",\n".join([*parts, f"survivors AS (SELECT s.* FROM {source} s SEMI JOIN "
+                       f"({union} UNION ALL {rest}) USING (asin, page, pos))"])
 
 
 IN_PAGE = ",\n".join([
@@ -507,6 +509,22 @@ def oracle_sql() -> dict[str, str]:
     o["signed_out_domains"] = f"""WITH {facts} SELECT domain, bool_and({SIGNED_OUT})
       AS all_signed_out, count(*) AS pages FROM page_facts GROUP BY domain"""
 
+    o["crawl_frontier"] = f"""WITH RECURSIVE {facts}, l AS MATERIALIZED (SELECT asin, domain, star_filter, page,
+        CASE WHEN l_partkey % 7 = 0 AND page = 2 THEN 1 WHEN more THEN page + 1 END AS "to"
+        FROM page_facts WHERE {USABLE}),
+      walk AS (SELECT asin, page FROM l WHERE page = 1 UNION
+        SELECT n.asin, n.page FROM walk w JOIN l ON l.asin = w.asin AND l.page = w.page
+        JOIN l AS n ON n.asin = l.asin AND n.page = l."to"),
+      v AS (SELECT l.asin, l.page, l."to", n.page IS NULL AS stop FROM walk JOIN l USING (asin, page)
+        LEFT JOIN l AS n ON n.asin = l.asin AND n.page = l."to"),
+      s AS (SELECT asin, count(*) AS reached, max(page) AS largest, max(page) FILTER (stop) AS stopped,
+        arg_max("to", page) FILTER (stop) AS lead, bool_or(stop AND "to" IS NULL) AS last FROM v GROUP BY asin)
+      SELECT r.asin, r.domain, r.star_filter, coalesce(reached, 0) AS reached,
+        coalesce(stopped, largest) AS last_page, CASE WHEN reached IS NULL THEN 'missing page'
+        WHEN stopped IS NULL THEN 'loop' WHEN last THEN 'last page' ELSE 'missing page' END AS outcome,
+        CASE WHEN reached IS NULL THEN 1 WHEN NOT last THEN lead END AS wanted
+      FROM (SELECT DISTINCT asin, domain, star_filter FROM l) r LEFT JOIN s USING (asin)"""
+
     # Extraction: the strings that went into each page must come back.
     o["extract_reviews"] = f"""WITH {RAW}, {paged('raw')} SELECT asin, page, pos, id_href, title,
       body, rating_text AS rating, date_text AS date, verified_text AS verified,

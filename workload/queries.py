@@ -204,6 +204,18 @@ def plan_gap(spark, sf_dir):
         "line_no", "asin", "star_filter", "page")
 
 
+@query
+def crawl_frontier(spark, sf_dir):
+    """How far the links of every run lead over its usable pages; some last links lead back."""
+    captured = pages.usable(pages.triage(derive.captured_pages(spark, sf_dir)))
+    extracted = extract.extract_pages(captured)
+    back = (F.substring("asin", 2, 9).cast("int") % 7 == 0) & (c("page") == 2)
+    extracted = extracted.withColumns({
+        "next_href": F.when(back, F.lit("/next?pageNumber=1")).otherwise(c("next_href")),
+        "next_link": back | c("next_link"), "next_disabled": ~back & c("next_disabled")})
+    return crawl.follow_links(crawl.page_links(extracted))
+
+
 # Pages.
 
 def _marked(name: str, build) -> None:
