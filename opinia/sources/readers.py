@@ -24,7 +24,8 @@ def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REVIEWS).parquet(path)
+    """Stored reviews: the table of `sinks`, in buckets, or any Parquet folder of reviews."""
+    return spark.read.schema(REVIEWS).parquet(path).select(*REVIEWS.fieldNames())
 
 
 def read_review_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -1,26 +1,37 @@
-"""Writers: the reviews table and exports."""
+"""Writers: the reviews table and exports.
+
+The table lies in `REVIEW_BUCKETS` folders by the hash of the review id.  A batch reads,
+extends or replaces only the buckets that it touches, so batch writes, micro-batches and
+rewrites share one table: a replayed batch finds its own rows and adds none, and a rewrite
+replaces whole buckets, each run of them in one commit.  One writer at a time.
+"""
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from opinia.operators.dedup import insert_if_absent
+from opinia.operators.ranking import keep_first
 from opinia.operators.records import coerce_defaults, conform, storable
-from opinia.plans.views import all_reviews, reviews_for_product
+from opinia.plans.maintenance import migrate_titles, title_changes, upsert
+from opinia.plans.views import all_reviews, quality_view, reviews_for_product
 from opinia.schema import REVIEWS
-from opinia.sources.readers import read_reviews
-from opinia.sources.scratch import reliable_checkpoint
+from opinia.sources.scratch import reliable_checkpoint, written
 
 FORMATS = ("csv", "parquet", "ndjson")
+REVIEW_BUCKETS = 16
+STORED = T.StructType([*REVIEWS.fields, T.StructField("bucket", T.IntegerType())])
 
 
 def ensure_reviews_table(spark: SparkSession, path: str, reset: bool = False) -> None:
     """Create the empty table when missing; `reset` empties an existing one."""
     if not reset:
         try:
-            spark.read.parquet(path)
+            spark.read.schema(REVIEWS).parquet(path)
             return
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
@@ -28,28 +39,73 @@ def ensure_reviews_table(spark: SparkSession, path: str, reset: bool = False) ->
     spark.createDataFrame([], REVIEWS).write.mode("overwrite").parquet(path)
 
 
+def bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("review_id"), F.lit(REVIEW_BUCKETS)).cast("int"))
+
+
+def stored_in(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
+    """Reviews of some buckets of the table, with their `bucket`; no other folder is read."""
+    return spark.read.schema(STORED).parquet(path).filter(F.col("bucket").isin(buckets))
+
+
 def laid_out(df: DataFrame) -> DataFrame:
-    """Cluster by product and date, so product reads skip files and row groups."""
-    return df.repartitionByRange("asin", "review_date").sortWithinPartitions("asin", "review_date")
+    """Cluster by bucket, product and date, so product reads skip row groups."""
+    keys = ["bucket", "asin", "review_date"]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def append_reviews(new: DataFrame, path: str, order: list[str | Column],
                    now: Column | None = None) -> int:
     """Append the storable rows whose review id the table lacks.
 
-    Absent badges, votes and times get their defaults (`now`).  One writer at a
-    time.  Returns how many were written, counted by the write itself.
+    Absent badges, votes and times get their defaults (`now`).  Returns how many were
+    written, counted by the write itself.
     """
     fit, _ = storable(new)
-    fresh = insert_if_absent(fit, read_reviews(new.sparkSession, path), order)
-    # The range layout reads its input twice, first to sample it: run the plan once.
-    ready = reliable_checkpoint(conform(coerce_defaults(conform(fresh), now)))
+    first = conform(keep_first(fit, ["review_id"], order))
+    # Run the input once: buckets, comparison and the sample of the range layout read it.
+    ready = reliable_checkpoint(bucketed(conform(coerce_defaults(first, now))))
+    known = stored_in(new.sparkSession, path, _touched(ready)).select("bucket", "review_id")
+    fresh = ready.join(known, ["bucket", "review_id"], "left_anti")
     saved = Observation("saved")
-    counted = laid_out(ready).observe(saved, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("append").parquet(path)
+    counted = laid_out(fresh).observe(saved, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("append").partitionBy("bucket").parquet(path)
     return saved.get["rows"]
 
 
+def upsert_reviews(new: DataFrame, path: str) -> None:
+    """Make the table hold, per review id, the row updated last; untouched buckets stay as they are."""
+    ready = reliable_checkpoint(bucketed(conform(new.filter(F.col("review_id").isNotNull()))))
+    buckets = _touched(ready)
+    _replace(upsert(stored_in(new.sparkSession, path, buckets), ready), path)
+
+
+def migrate_table(spark: SparkSession, path: str, now: Column | None = None, per_commit: int = 4) -> list[list[int]]:
+    """Remove star mentions from the titles of the stored table; returns the buckets of each commit.
+
+    Only buckets with a title that changes are rewritten, a few per commit.  A run that was
+    stopped is continued by the next one, for which the buckets already done have no change.
+    """
+    table = spark.read.schema(STORED).parquet(path)
+    open_ = sorted(_touched(table.filter(title_changes())))
+    commits = [open_[i:i + per_commit] for i in range(0, len(open_), per_commit)]
+    for buckets in commits:
+        _replace(migrate_titles(stored_in(spark, path, buckets), now=now), path)
+    return commits
+
+
+def _touched(df: DataFrame) -> list[int]:
+    """The buckets of the rows, `REVIEW_BUCKETS` numbers at most."""
+    return [r["bucket"] for r in df.select("bucket").distinct().collect()]
+
+
+def _replace(rows: DataFrame, path: str) -> None:
+    """Put the rows in place of the buckets they belong to, in one commit."""
+    ready = written(rows, "buckets")
+    (laid_out(ready).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
+
+
 def export_reviews(reviews: DataFrame, path: str, fmt: str, asin: str | None = None,
                    limit: int | None = None) -> str | None:
     """Write all reviews, or one product's, and return the path; None when empty.
@@ -90,6 +146,34 @@ def _write(rows: DataFrame, path: str, fmt: str) -> str:
     return path
 
 
-def last_run(df: DataFrame, run: str = "run_id") -> DataFrame:
-    """Rows of the latest run."""
-    return df.filter(F.col(run) == df.agg(F.max(run)).scalar())
+def write_run(rows: DataFrame, path: str, run: str = "run_id") -> None:
+    """Keep the results of runs, one folder per run; a run that is written again replaces itself."""
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(run).parquet(path))
+
+
+def newest_run(spark: SparkSession, path: str, run: str = "run_id") -> str | None:
+    """The last run id by the names of the run folders; no file is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    statuses = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(folder)
+    names = [s.getPath().getName() for s in statuses if s.isDirectory()]
+    runs = [unquote(n.removeprefix(f"{run}=")) for n in names if n.startswith(f"{run}=")]
+    return max((r for r in runs if r != "__HIVE_DEFAULT_PARTITION__"), default=None)
+
+
+def last_run(spark: SparkSession, path: str, run: str = "run_id") -> DataFrame | None:
+    """Rows of the newest run kept by `write_run`; only its folder is read."""
+    newest = newest_run(spark, path, run)
+    if newest is None:
+        return None
+    # Ids stay text: `007` and `7` are different runs.
+    schema = spark.read.parquet(f"{path.rstrip('/')}/{run}={quote(newest, safe=' ')}").schema
+    stored = T.StructType([*schema.fields, T.StructField(run, T.StringType())])
+    return spark.read.schema(stored).parquet(path).filter(F.col(run) == newest)
+
+
+def export_last_run(spark: SparkSession, path: str, out: str, fmt: str, order: list[str | Column],
+                    run: str = "run_id") -> str | None:
+    """Export the newest run, deduplicated and in sentiment order; None when there is no run or no row."""
+    rows = last_run(spark, path, run)
+    return None if rows is None else write_rows(quality_view(rows, order), out, fmt)

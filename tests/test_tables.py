@@ -1,6 +1,7 @@
 """Sources, sinks, metrics, views and maintenance on small frames."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +274,70 @@ def test_crawl_plan_and_gap(spark):
     assert {r["star_filter"] for r in one.collect()} == {"two_star"}
     gap = crawl.plan_gap(one, one.filter("page = 1"))
     assert [r["page"] for r in gap.collect()] == [2]
+
+
+def files_by_bucket(path):
+    return {p.parent.name: sorted(x.name for x in p.parent.glob("*.parquet")) for p in Path(path).glob("bucket=*/*.parquet")}
+
+
+def test_batches_touch_their_own_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "reviews")
+    sinks.ensure_reviews_table(spark, path)
+    rows = [review(rid=f"R{i}", review_title=f"title {i}") for i in range(60)]
+    sinks.append_reviews(reviews(spark, *rows), path, ["review_id"])
+    before = files_by_bucket(path)
+    assert len(before) == sinks.REVIEW_BUCKETS
+    assert sinks.append_reviews(reviews(spark, *rows[:9]), path, ["review_id"]) == 0
+    assert files_by_bucket(path) == before
+    # Newer rows replace the stored ones; only their buckets are rewritten.
+    newer = reviews(spark, review(rid="R1", review_title="new"), review(rid="R99", review_title="other")).withColumn(
+        "updated_at", F.lit(dt.datetime(2999, 1, 1)))
+    touched = {f"bucket={r.bucket}" for r in sinks.bucketed(newer).collect()}
+    sinks.upsert_reviews(newer, path)
+    after = files_by_bucket(path)
+    assert {b for b in before if before[b] != after[b]} == touched
+    titles = {r.review_id: r.review_title for r in readers.read_reviews(spark, path).collect()}
+    assert titles == {f"R{i}": f"title {i}" for i in range(60)} | {"R1": "new", "R99": "other"}
+
+
+def test_migration_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    path, now = str(tmp_path / "reviews"), F.lit(dt.datetime(2024, 5, 6))
+    sinks.ensure_reviews_table(spark, path)
+    rows = [review(rid=f"R{i}", review_title="5 out of 5 stars good" if i % 3 == 0 else "good") for i in range(30)]
+    sinks.append_reviews(reviews(spark, *rows), path, ["review_id"])
+    before, replace, done = files_by_bucket(path), sinks._replace, []
+
+    def stop_after_one(rows, path):
+        if done:
+            raise RuntimeError("stopped")
+        done.append(replace(rows, path))
+
+    monkeypatch.setattr(sinks, "_replace", stop_after_one)
+    with pytest.raises(RuntimeError):
+        sinks.migrate_table(spark, path, now, per_commit=2)
+    half = files_by_bucket(path)
+    assert sum(before[b] != half[b] for b in before) == 2
+    monkeypatch.setattr(sinks, "_replace", replace)
+    rest = sinks.migrate_table(spark, path, now, per_commit=2)
+    after = files_by_bucket(path)
+    assert {b for b in half if half[b] != after[b]} == {f"bucket={b}" for commit in rest for b in commit}
+    assert {r.review_title for r in readers.read_reviews(spark, path).collect()} == {"good"}
+    assert sinks.migrate_table(spark, path, now) == []
+
+
+def test_newest_run_by_its_folder(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert_rows = [("2024-01", 1), ("2024-02", 2), ("2024-02", 3), ("10", 4), (None, 5), ("2024-03 a/x", 6)]
+    df = spark.createDataFrame(assert_rows, "run_id string, n int")
+    sinks.write_run(df.filter("n < 6"), path)
+    assert sinks.newest_run(spark, path) == "2024-02"
+    found = sinks.last_run(spark, path)
+    assert sorted(r["n"] for r in found.collect()) == [2, 3]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan
+    # A run written again replaces itself; others stay.
+    sinks.write_run(df.filter("n = 3"), path)
+    assert [r["n"] for r in sinks.last_run(spark, path).collect()] == [3]
+    sinks.write_run(df.filter("n = 6"), path)
+    assert [tuple(r) for r in sinks.last_run(spark, path).select("n", "run_id").collect()] == [(6, "2024-03 a/x")]
+    assert spark.read.parquet(path).count() == 5

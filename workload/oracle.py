@@ -690,8 +690,10 @@ def oracle_sql() -> dict[str, str]:
     o["export_roundtrip_csv"] = exported
     o["export_roundtrip_parquet"] = exported
     o["ephemeral_run"] = o["ingest_recap"]
-    o["last_run_export"] = f"""WITH {TYPED} SELECT {KEY}, review_id FROM typed
-      WHERE year(l_shipdate) = (SELECT max(year(l_shipdate)) FROM typed)"""
+    last = f"""last AS (SELECT *, {sentiment('rating')} AS sentiment FROM typed
+      WHERE year(l_shipdate) = (SELECT max(year(l_shipdate)) FROM typed))"""
+    o["last_run_export"] = f"""WITH {TYPED}, {last}, {first('pass1', 'last', 'review_id', ORD)},
+      {first('pass2', 'pass1', content_key(), ORD)} SELECT {KEY}, review_id, rating, sentiment FROM pass2"""
     o["append_to_table"] = f"""WITH {TYPED}, {first('fresh', 'typed', 'review_id',
         f"CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END, {ORD}")}
       SELECT asin, review_id, review_title, rating, review_date,
@@ -749,6 +751,11 @@ def oracle_sql() -> dict[str, str]:
       max(review_date) AS last_date FROM pass2 GROUP BY asin"""
 
     # Streams equal the batch over the same pages.
+    o["upsert_table"] = o["upsert_reviews"]
+    o["migrate_table"] = f"""WITH {TABLE}, shown AS (SELECT review_id,
+        CASE WHEN id % 2 = 0 THEN '5 out of 5 stars ' || review_title ELSE review_title END AS title FROM stored)
+      SELECT review_id, CASE WHEN {strip_title('title')} <> title THEN {strip_title('title')} ELSE title END
+        AS review_title, {strip_title('title')} <> title AS touched FROM shown"""
     o["stream_parse"] = f"""WITH {kept} SELECT asin, page, pos, {REVIEW} FROM by_content"""
     o["stream_dedup"] = f"""WITH {kept} SELECT asin, page, pos, review_id, review_title
       FROM survivors"""

@@ -579,13 +579,16 @@ def migrate_titles_limited(spark, sf_dir):
 def upsert_reviews(spark, sf_dir):
     """Newer, older and new rows against the stored table."""
     stored = _reviews_table(spark, sf_dir)
+    return maintenance.upsert(stored, _changed(stored)).select("review_id", "asin", "review_title")
+
+
+def _changed(stored: DataFrame) -> DataFrame:
     later = c("updated_at") + F.expr("INTERVAL 1 DAY")
     earlier = c("updated_at") - F.expr("INTERVAL 1 DAY")
-    changed = stored.filter(c("id") % 4 != 3).withColumns({
+    return stored.filter(c("id") % 4 != 3).withColumns({
         "review_title": F.concat(c("review_title"), F.lit(" v2")),
         "review_id": F.when(c("id") % 4 == 2, F.concat("review_id", F.lit("N"))).otherwise(c("review_id")),
         "updated_at": F.when(c("id") % 4 == 1, earlier).otherwise(later)})
-    return maintenance.upsert(stored, changed).select("review_id", "asin", "review_title")
 
 
 @query
@@ -677,8 +680,11 @@ def export_page_details(spark, sf_dir):
 
 @query
 def last_run_export(spark, sf_dir):
-    rows = derive.typed(spark, sf_dir).withColumn("run_id", F.year("l_shipdate"))
-    return sinks.last_run(rows).select(*KEY, "review_id")
+    """Keep the results of one run per year, export the newest and read it back."""
+    path = scratch_path(spark, "runs")
+    sinks.write_run(derive.typed(spark, sf_dir).withColumn("run_id", F.year("l_shipdate")), path)
+    out = sinks.export_last_run(spark, path, scratch_path(spark, "export"), "parquet", ORD)
+    return spark.read.parquet(out).select(*KEY, "review_id", "rating", "sentiment")
 
 
 @query
@@ -695,6 +701,34 @@ def append_to_table(spark, sf_dir):
         c("created_at").cast("string").alias("created_at"), c("updated_at").cast("string").alias("updated_at"))
 
 
+def _written_table(spark, sf_dir, rows: DataFrame) -> str:
+    path = scratch_path(spark, "reviews")
+    sinks.ensure_reviews_table(spark, path)
+    sinks.append_reviews(rows, path, ["review_id"])
+    return path
+
+
+@query
+def upsert_table(spark, sf_dir):
+    """As `upsert_reviews`, on the table itself, in the buckets that the new rows touch."""
+    path = _written_table(spark, sf_dir, _reviews_table(spark, sf_dir))
+    sinks.upsert_reviews(_changed(readers.read_reviews(spark, path)), path)
+    return readers.read_reviews(spark, path).select("review_id", "asin", "review_title")
+
+
+@query
+def migrate_table(spark, sf_dir):
+    """Remove star mentions from the stored titles, a few buckets per commit."""
+    shown = F.concat(F.lit("5 out of 5 stars "), "review_title")
+    old = _reviews_table(spark, sf_dir).withColumn(
+        "review_title", F.when(c("id") % 2 == 0, shown).otherwise(c("review_title")))
+    path = _written_table(spark, sf_dir, old)
+    never = F.to_timestamp(F.lit("9999-01-01 00:00:00"))
+    sinks.migrate_table(spark, path, never)
+    return readers.read_reviews(spark, path).select(
+        "review_id", "review_title", (c("updated_at") == never).alias("touched"))
+
+
 @query
 def product_quality(spark, sf_dir):
     """Deduplicated reviews, their sentiment and a recap per product."""
