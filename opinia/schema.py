@@ -32,6 +32,8 @@ PAGES = T.StructType([
     T.StructField("html", T.StringType()),
     T.StructField("started_at", T.TimestampType()),
     T.StructField("finished_at", T.TimestampType()),
+    # Tells the captures of one tranche apart and sorts by time; NULL is a run like any other.
+    T.StructField("run_id", T.StringType()),
 ])
 
 # The raw strings of one review block, NULL where the element is absent.

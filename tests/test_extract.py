@@ -102,7 +102,7 @@ def test_broken_markup():
 def test_frame_and_strict_mode(spark):
     bare = '<div data-hook="review"><i class="a-icon-alt">2</i></div>'
     odd = '<div data-hook="review"><a href="/reviews/abc">x</a><b data-hook="review-title">T</b></div>'
-    rows = [("A", None, None, i + 1, "u", html, None, None)
+    rows = [("A", None, None, i + 1, "u", html, None, None, None)
             for i, html in enumerate([BLOCK, bare, odd, None])]
     extracted = extract.extract_pages(spark.createDataFrame(rows, PAGES))
     assert "html" not in extracted.columns

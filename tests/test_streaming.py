@@ -1,6 +1,14 @@
-"""Streams on a handful of pages: status counts, order across batches, replays."""
+"""Streams on a handful of pages: status counts, order of arrival, one table, rejects, replays."""
 
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from opinia.operators.records import conform
 from opinia.schema import PAGES
+from opinia.sources import readers, sinks
 from opinia.streaming import pages as streams
 
 
@@ -9,29 +17,87 @@ def block(rid, title):
             "</div>")
 
 
-def pages(spark, *rows):
+def pages(spark, *rows, asin="A", run=None):
     return spark.createDataFrame(
-        [("A", None, None, page, "u", html, None, None) for page, html in rows], PAGES)
+        [(asin, None, None, page, "u", html, None, None, run) for page, html in rows], PAGES)
 
 
 def test_page_loop_over_arrivals(spark, tmp_path):
-    source, kept, table, state, counts, state2 = (
-        str(tmp_path / n) for n in ("src", "kept", "table", "state", "counts", "state2"))
+    source, table, rejects, state, counts, state2 = (
+        str(tmp_path / n) for n in ("src", "table", "rejects", "state", "counts", "state2"))
+    now = dt.datetime(2024, 5, 6)
+    sinks.ensure_reviews_table(spark, table)
+    stored = [("A", "R0", "stored before"), ("A", None, "no id"), ("B", "R9", "other")]
+    frame = spark.createDataFrame(stored, "asin string, review_id string, review_title string")
+    sinks.append_reviews(conform(frame), table, ["asin"], F.lit(now))
     arrivals = [
-        pages(spark, (1, block("R1", "a") + block("R1", "x")), (2, block("R2", "a"))),
+        pages(spark, (1, block("R1", "a") + block("R1", "x") + block("R0", "z")), (2, block("R2", "a"))),
         # R2 was dropped, so it leaves no trace; R1 and content "a" were kept.
-        pages(spark, (3, block("R2", "b") + block("R3", "a") + block("R1", "c")), (4, "captcha")),
+        pages(spark, (3, block("R2", "b") + block("R3", "a") + block("R1", "c")), (4, "captcha"), (None, block("R7", "lost"))),
+        pages(spark, (5, block("R" + "8" * 70, "long id") + block("R5", "t" * 600))),
     ]
     for arrival in arrivals:
         arrival.write.mode("append").parquet(source)
         stream = streams.read_page_stream(spark, source)
-        streams.stream_ingest(stream, kept, table, state).awaitTermination()
+        streams.stream_ingest(stream, table, rejects, state, F.lit(now)).awaitTermination()
         streams.stream_status_counts(stream, counts, state2).awaitTermination()
-    rows = spark.read.parquet(table).orderBy("page").collect()
-    assert [(r["page"], r["review_id"], r["review_title"]) for r in rows] == [
-        (1, "R1", "a"), (3, "R2", "b")]
+    rows = readers.read_reviews(spark, table).collect()
+    assert sorted((r["asin"], r["review_id"], r["review_title"]) for r in rows) == [
+        ("A", "R0", "stored before"), ("A", "R1", "a"), ("A", "R2", "b"), ("B", "R9", "other")]
+    assert all(r["created_at"] == now and r["helpful_votes"] == 0 for r in rows)
     status = streams.latest_metrics(spark, counts, ["page_status"]).collect()
-    assert {r["page_status"]: r["pages"] for r in status} == {"ok": 3, "challenge": 1}
+    assert {r["page_status"]: r["pages"] for r in status} == {"ok": 5, "challenge": 1}
+    quarantined = spark.read.parquet(f"{rejects}/quarantined").collect()
+    assert [(r["asin"], r["page"], r["status"]) for r in quarantined] == [("A", 4, "challenge")]
+    problems = sorted(r["problem"] for r in spark.read.parquet(f"{rejects}/unstorable").collect())
+    assert problems == ["review_id too long", "review_title too long"]
+    # The rows of a batch that runs again are in their buckets already.
+    assert sinks.append_reviews(readers.read_reviews(spark, table), table, ["review_id"]) == 0
+
+
+def greedy(rows):
+    seen, out = {}, []
+    for run, asin, page, pos, rid, title in rows:
+        keys = seen.setdefault((run, asin), set())
+        if ("i", rid) not in keys and ("c", title) not in keys:
+            keys |= {("i", rid), ("c", title)}
+            out.append((run, asin, page, pos))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 64])
+def test_any_order_of_arrival_gives_the_batch_result(spark, tmp_path, files_per_batch):
+    draw = random.Random(8)
+    places, files = [], []
+    for run, asin in (("r1", "A"), ("r1", "B"), ("r2", "A"), (None, "A")):
+        for page in range(1, 7):
+            found = [(f"R{draw.randrange(12)}", f"t{draw.randrange(9)}") for _ in range(4)]
+            ids, titles, pos = set(), set(), 0
+            for pos, (rid, title) in enumerate(found):  # the in-page rules
+                if rid in ids:
+                    continue
+                ids.add(rid)
+                if title not in titles:
+                    places.append((run, asin, page, pos, rid, title))
+                titles.add(title)
+            files.append((run, asin, page, "".join(block(*f) for f in found)))
+    source, kept, state = (str(tmp_path / n) for n in ("src", "kept", "state"))
+    draw.shuffle(files)
+    for part in (files[:9], files[9:]):
+        for run, asin, page, html in part if files_per_batch == 1 else []:
+            pages(spark, (page, html), asin=asin, run=run).coalesce(1).write.mode("append").parquet(source)
+        if files_per_batch > 1:
+            rows = [(asin, None, None, page, "u", html, None, None, run) for run, asin, page, html in part]
+            spark.createDataFrame(rows, PAGES).write.mode("append").parquet(source)
+        streams.stream_dedup(streams.read_page_stream(spark, source, files_per_batch), kept, state).awaitTermination()
+    got = sorted(((r.run_id, r.asin, r.page, r.pos) for r in spark.read.parquet(kept).collect()), key=str)
+    assert got == greedy(places)
+
+
+def test_failed_pages_in_their_narrow_form(spark):
+    rows = spark.createDataFrame([("ok", None, 1), ("ok", "ValueError: x", 2)], "status string, error string, page int")
+    (row,) = streams.failed(rows.withColumn("duration_s", F.lit(1.5))).collect()
+    assert tuple(row) == (2, 0, 0, 1.5, False, "ValueError: x")
 
 
 def test_replayed_batch_overwrites_itself(spark, tmp_path):

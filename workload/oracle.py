@@ -764,6 +764,11 @@ def oracle_sql() -> dict[str, str]:
         "written", "survivors", "review_id",
         f"page > 2, asin, domain NULLS FIRST, {label_rank(label('star_filter'))}, page, pos")
     o["stream_ingest"] = f"""WITH {kept}, {first_writer}
-      SELECT asin, page, pos, review_id, review_title FROM written"""
+      SELECT asin, review_id, review_title, rating, review_date, '2024-05-06 07:08:09' AS created_at,
+        '2024-05-06 07:08:09' AS updated_at FROM written"""
+    o["stream_dedup_shuffled"] = o["stream_dedup"]
+    o["stream_quarantine"] = f"""WITH {RAW}, {paged('raw')}, {PAGE_FACTS} SELECT asin, page,
+      CASE WHEN marker BETWEEN 20 AND 25 THEN 'login' ELSE 'challenge' END AS status
+      FROM page_facts WHERE NOT {USABLE}"""
     o["stream_metrics"] = o["ingest_recap"]
     return o

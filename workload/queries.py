@@ -12,7 +12,7 @@ from opinia.functions import dates, markets, pages, ratings, text, urls
 from opinia.operators import dedup, extract, records
 from opinia.plans import crawl, ingest, maintenance, metrics, views
 from opinia.sources import readers, sinks
-from opinia.sources.scratch import scratch_path
+from opinia.sources.scratch import scratch_path, written
 from opinia.streaming import pages as streams
 from workload import derive
 from workload.derive import ORD
@@ -746,12 +746,13 @@ def product_quality(spark, sf_dir):
 
 # Streams, fed in two arrivals: the first two pages of every run, then the rest.
 
-def _arrivals(spark, sf_dir, run) -> None:
+def _arrivals(spark, sf_dir, run, parts=("page <= 2", "page > 2"), files_per_batch: int = 64) -> None:
     source = scratch_path(spark, "captured")
-    captured = derive.captured_pages(spark, sf_dir)
-    for part in (captured.filter(c("page") <= 2), captured.filter(c("page") > 2)):
-        part.write.mode("append").parquet(source)
-        run(streams.read_page_stream(spark, source)).awaitTermination()
+    captured = derive.captured_pages(spark, sf_dir).withColumn("run_id", F.lit("2024-01"))
+    captured = written(captured, "pages")
+    for part in parts:
+        captured.filter(part).write.mode("append").parquet(source)
+        run(streams.read_page_stream(spark, source, files_per_batch)).awaitTermination()
 
 
 @query
@@ -761,24 +762,50 @@ def stream_parse(spark, sf_dir):
     return spark.read.parquet(out).select("asin", "page", "pos", *REVIEW)
 
 
-@query
-def stream_dedup(spark, sf_dir):
+def _deduplicated(spark, sf_dir, **arrivals) -> DataFrame:
     kept, state = scratch_path(spark, "kept"), scratch_path(spark, "state")
-    _arrivals(spark, sf_dir, lambda s: streams.stream_dedup(s, kept, state))
+    _arrivals(spark, sf_dir, lambda s: streams.stream_dedup(s, kept, state), **arrivals)
     return spark.read.parquet(kept).select("asin", "page", "pos", "review_id", "review_title")
 
 
+@query
+def stream_dedup(spark, sf_dir):
+    return _deduplicated(spark, sf_dir)
+
+
+@query
+def stream_dedup_shuffled(spark, sf_dir):
+    """Pages arrive in no order, a file at a time: each waits for those before it."""
+    parts = [f"pmod(xxhash64(asin, page), 3) = {i}" for i in range(3)]
+    return _deduplicated(spark, sf_dir, parts=parts, files_per_batch=3)
+
+
+def _ingested(spark, sf_dir) -> tuple[str, str]:
+    table, rejects, state = (scratch_path(spark, n) for n in ("table", "rejects", "state"))
+    sinks.ensure_reviews_table(spark, table)
+    now = F.to_timestamp(F.lit("2024-05-06 07:08:09"))
+    _arrivals(spark, sf_dir, lambda s: streams.stream_ingest(s, table, rejects, state, now))
+    return table, rejects
+
+
 @query
 def stream_ingest(spark, sf_dir):
-    kept, table = scratch_path(spark, "kept"), scratch_path(spark, "table")
-    state = scratch_path(spark, "state")
-    _arrivals(spark, sf_dir, lambda s: streams.stream_ingest(s, kept, table, state))
-    return spark.read.parquet(table).select("asin", "page", "pos", "review_id", "review_title")
+    """The page loop into the reviews table."""
+    table, _ = _ingested(spark, sf_dir)
+    return readers.read_reviews(spark, table).select(
+        "asin", "review_id", "review_title", "rating", "review_date",
+        c("created_at").cast("string").alias("created_at"), c("updated_at").cast("string").alias("updated_at"))
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    """Pages that the stream rejected unread, and why."""
+    _, rejects = _ingested(spark, sf_dir)
+    return spark.read.parquet(f"{rejects}/quarantined").select("asin", "page", "status")
 
 
 @query
 def stream_metrics(spark, sf_dir):
-    kept, out = scratch_path(spark, "kept"), scratch_path(spark, "metrics")
-    state = scratch_path(spark, "state")
-    _arrivals(spark, sf_dir, lambda s: streams.stream_metrics(s, kept, out, state))
+    out, state = scratch_path(spark, "metrics"), scratch_path(spark, "state")
+    _arrivals(spark, sf_dir, lambda s: streams.stream_metrics(s, out, state))
     return streams.stream_recap(spark, out)
