@@ -7,8 +7,11 @@ the body.  `workload/oracle.py` states the same rules in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinia.constants import (
     CHALLENGE_MARKERS, ERROR_MARKERS, LOGIN_MARKERS, MARKETS, NEXT_LINK_LABELS,
@@ -18,6 +21,7 @@ from opinia.constants import (
 from opinia.functions.urls import generate_review_url
 from opinia.operators.ranking import ordinal
 from opinia.operators.records import typed_reviews
+from opinia.sources.scratch import scratch_path
 
 DOMAINS = [f"www.{d}" for d in MARKETS]
 STARS = list(STAR_LABEL_BY_CODE)
@@ -72,8 +76,35 @@ def star_of(key: Column) -> Column:
     return pick(STARS, F.floor(key / 7) % 6)
 
 
+_stored: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written when an application first asks for it and read from there on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        rows, path = make(), scratch_path(spark, name)
+        rows.write.parquet(path)
+        _stored[key] = path, rows.schema
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def texts_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`text_order` and `text`: the documents, by doc_id, belong to the first orders by key, one each."""
+    orders = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("text_order")).distinct()
+    orders = ordinal(orders, [], F.floor(F.col("text_order") / 65536), ["text_order"], "n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ordinal(docs, [], F.floor(F.col("doc_id") / 65536), ["doc_id"], "n").join(orders, "n").select(
+        "text_order", "text")
+
+
 def raw_reviews(spark: SparkSession, sf_dir: str, body: bool = True) -> DataFrame:
     """Blocks as a page would show them, all strings; `body` joins the texts."""
+    return _once(spark, sf_dir, f"blocks-{body}", lambda: _raw_reviews(spark, sf_dir, body))
+
+
+def _raw_reviews(spark: SparkSession, sf_dir: str, body: bool) -> DataFrame:
     line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     number, supplier = F.col("l_linenumber"), F.col("l_suppkey")
     quantity = F.col("l_quantity").cast("int")
@@ -87,9 +118,9 @@ def raw_reviews(spark: SparkSession, sf_dir: str, body: bool = True) -> DataFram
          "1,{} people found this helpful", "", "{}", "aucun vote"], number - 1)
     if body:
         part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        docs = texts_of_orders(spark, sf_dir)
         line = (line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-                .join(docs, F.col("l_orderkey") == F.col("doc_id"), "left"))
+                .join(docs, F.col("l_orderkey") == F.col("text_order"), "left"))
     df = line.select(
         *ORD,
         product_code(F.col("l_partkey")).alias("asin"),
@@ -136,6 +167,10 @@ def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The review pages a browser would have captured, as HTML."""
+    return _once(spark, sf_dir, "captured", lambda: _captured_pages(spark, sf_dir))
+
+
+def _captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = with_pages(raw_reviews(spark, sf_dir))
     run = ["asin", "domain", "star_filter", "l_partkey"]
     pages = blocks.groupBy(*run, "page").agg(
@@ -211,6 +246,21 @@ def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit("</body></html>")).alias("html"))
 
 
+HEADER_FORMS = ['<div data-hook="cr-filter-info-review-count">{}</div>',
+                '<div id="filter-info-section"><span class="a-size-base">{}</span> x</div>',
+                '<div class="a-size-base a-row a-spacing-base">{}</div>',
+                '<div id="filter-info-section"><b>{}</b></div>', "<div>{}</div>",
+                '<div data-hook="cr-filter-info-review-count"> </div><div class="a-row a-spacing-base a-size-base">{}</div>']
+
+
+def header_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small page per part, in turn with each place that shows the announced total, and one that does not."""
+    key = F.col("p_partkey")
+    shown = F.replace(pick(HEADER_FORMS, key % len(HEADER_FORMS)), F.lit("{}"), F.concat(shown_total(key), F.lit(" avis")))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
+        key, F.concat(F.lit("<html><body>"), shown, F.lit("</body></html>")).alias("html"))
+
+
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log read as a log of page runs: a user is a product."""
     user, eid = F.col("user_id"), F.col("event_id")

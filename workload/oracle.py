@@ -225,7 +225,10 @@ def _raw() -> str:
     CASE WHEN l_discount > 0 THEN 'Taille: ' || CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR)
       END AS variant_text
   FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey
-    LEFT JOIN documents d ON l.l_orderkey = d.doc_id),
+    LEFT JOIN (SELECT k, text FROM (SELECT k, row_number() OVER (ORDER BY k) AS i
+        FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem))
+      JOIN (SELECT text, row_number() OVER (ORDER BY doc_id) AS i FROM documents) USING (i)) d
+    ON l.l_orderkey = d.k),
 raw AS (
   SELECT *, CASE WHEN l_tax = 0 THEN '' ELSE trim(rating_text || ' ' || title_core) END AS title
   FROM raw0)"""
@@ -689,7 +692,19 @@ def oracle_sql() -> dict[str, str]:
     exported = f"""WITH {TABLE} SELECT id, asin, {REVIEW}, domain, canonical_product_url FROM stored"""
     o["export_roundtrip_csv"] = exported
     o["export_roundtrip_parquet"] = exported
-    o["ephemeral_run"] = o["ingest_recap"]
+    o["ephemeral_run"] = f"WITH {kept} SELECT asin, page, pos, review_id, rating FROM survivors"
+    o["import_csv_split"] = o["import_alias_dedup"]
+    o["header_total_forms"] = """SELECT p_partkey, CASE WHEN p_partkey % 6 <> 4
+      THEN (1 + p_partkey % 9) * 1000 + p_partkey % 1000 END AS value FROM part"""
+    o["latest_of_product"] = f"""WITH {TABLE} SELECT review_id, review_date, review_title AS title
+      FROM stored WHERE asin = 'B000000007' ORDER BY {LATEST_ORDER} LIMIT 10"""
+    o["union_missing_cols"] = f"""WITH {TYPED} SELECT {KEY}, review_id, CASE WHEN l_returnflag <> 'N' THEN rating END
+      AS rating, CASE WHEN l_returnflag <> 'A' THEN variant END AS variant FROM typed"""
+    o["ingest_tranches"] = f"""WITH {kept}, both_runs AS (SELECT asin, domain, star_filter, page, pos, review_id
+        FROM survivors UNION ALL SELECT asin, domain, 'three_star', page, pos, review_id FROM survivors
+        WHERE page <= 2 AND star_filter IS DISTINCT FROM 'three_star')
+      SELECT asin, star_filter, page, pos, review_id FROM both_runs QUALIFY row_number() OVER (PARTITION BY review_id
+        ORDER BY asin, domain NULLS FIRST, {label_rank(label('star_filter'))}, page, pos) = 1"""
     last = f"""last AS (SELECT *, {sentiment('rating')} AS sentiment FROM typed
       WHERE year(l_shipdate) = (SELECT max(year(l_shipdate)) FROM typed))"""
     o["last_run_export"] = f"""WITH {TYPED}, {last}, {first('pass1', 'last', 'review_id', ORD)},

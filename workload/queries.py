@@ -11,7 +11,7 @@ from opinia.constants import DEFAULT_MAX_PAGES
 from opinia.functions import dates, markets, pages, ratings, text, urls
 from opinia.operators import dedup, extract, records
 from opinia.plans import crawl, ingest, maintenance, metrics, views
-from opinia.sources import readers, sinks
+from opinia.sources import csv_blocks, readers, sinks
 from opinia.sources.scratch import scratch_path, written
 from opinia.streaming import pages as streams
 from workload import derive
@@ -284,6 +284,13 @@ def header_total(spark, sf_dir):
         "asin", "page", pages.header_total(c("header_text")).alias("value"))
 
 
+@query
+def header_total_forms(spark, sf_dir):
+    """Every place in which a page may show its total."""
+    return extract.extract_pages(derive.header_pages(spark, sf_dir)).select(
+        "p_partkey", pages.header_total(c("header_text")).alias("value"))
+
+
 @query
 def product_count(spark, sf_dir):
     return extract.extract_pages(derive.captured_pages(spark, sf_dir)).select(
@@ -430,7 +437,23 @@ def ingest_recap(spark, sf_dir):
     return metrics.recap(metrics.labelled(runs))
 
 
-QUERIES["ephemeral_run"] = ingest_recap
+@query
+def ephemeral_run(spark, sf_dir):
+    """A run without a table: nothing is stored but the export of what it found."""
+    done = ingest.ingest_pages(derive.captured_pages(spark, sf_dir))
+    path = sinks.write_rows(done.reviews, scratch_path(spark, "export"), "ndjson")
+    return spark.read.schema(done.reviews.schema).json(path).select("asin", "page", "pos", "review_id", "rating")
+
+
+@query
+def ingest_tranches(spark, sf_dir):
+    """Two star tranches per product; of an id in both, the tranche written first keeps it."""
+    captured = derive.captured_pages(spark, sf_dir)
+    other = captured.filter("page <= 2 AND star_filter IS DISTINCT FROM 'three_star'").withColumn(
+        "star_filter", F.lit("three_star"))
+    none = derive.typed(spark, sf_dir).filter("false")
+    return ingest.ingest_pages(captured.unionByName(other), none).new.select(
+        "asin", "star_filter", "page", "pos", "review_id")
 
 
 @query
@@ -492,7 +515,13 @@ def page_details(spark, sf_dir):
     return metrics.page_details(derive.event_runs(spark, sf_dir).drop("event_id"))
 
 
-QUERIES["union_missing_cols"] = page_details
+@query
+def union_missing_cols(spark, sf_dir):
+    """Runs that lack different columns; what a run lacks is NULL."""
+    rows = derive.typed(spark, sf_dir).select(*KEY, "review_id", "rating", "variant", "l_returnflag")
+    lacking = {"A": "variant", "N": "rating", "R": "l_returnflag"}
+    runs = [rows.filter(c("l_returnflag") == flag).drop("l_returnflag", name) for flag, name in lacking.items()]
+    return maintenance.union_runs(*runs)
 
 
 @query
@@ -540,6 +569,13 @@ def latest_ten(spark, sf_dir):
         "asin", "review_id", "review_date", "rating", "rank")
 
 
+@query
+def latest_of_product(spark, sf_dir):
+    """The columns to show that the table has: `rating` and `body` are missing here."""
+    table = _reviews_table(spark, sf_dir).withColumnRenamed("review_title", "title").drop("rating")
+    return views.latest(table, "B000000007")
+
+
 @query
 def preview_head(spark, sf_dir):
     return views.preview(_two_pass(spark, sf_dir), ORD).select(*KEY, "review_id", "review_title")
@@ -616,8 +652,7 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
-@query
-def import_alias_dedup(spark, sf_dir):
+def _imported(spark, sf_dir, read) -> DataFrame:
     """Write reviews under other column names, import the files and deduplicate."""
     rows = derive.typed(spark, sf_dir)
     renamed = rows.select(
@@ -625,14 +660,23 @@ def import_alias_dedup(spark, sf_dir):
         c("review_body").alias("content"), c("reviewer_name").alias("user"),
         c("review_date").alias("date"), c("rating").cast("string").alias("stars"), "variant")
     path = sinks.write_rows(renamed, scratch_path(spark, "import"), "csv")
-    imported = readers.canonical_columns(
-        readers.read_review_csv(spark, path, _ddl(renamed)))
-    unique = dedup.dedup_two_pass(imported, ORD)
+    unique = dedup.dedup_two_pass(readers.canonical_columns(read(path, _ddl(renamed))), ORD)
     texts = ["review_title", "review_body", "reviewer_name", "rating", "variant"]
     return unique.select(*KEY, "review_id", "review_date",
                          *[F.coalesce(n, F.lit("")).alias(n) for n in texts])
 
 
+@query
+def import_alias_dedup(spark, sf_dir):
+    return _imported(spark, sf_dir, lambda path, ddl: readers.read_review_csv(spark, path, ddl))
+
+
+@query
+def import_csv_split(spark, sf_dir):
+    """As `import_alias_dedup`; a quoted file is read by as many tasks as it has splits."""
+    return _imported(spark, sf_dir, lambda path, ddl: csv_blocks.import_csv(spark, path, ddl)[0])
+
+
 def _exported(spark, sf_dir, fmt: str) -> DataFrame:
     table = _reviews_table(spark, sf_dir).drop("created_at", "updated_at").withColumn(
         "created_at", F.lit(0))
