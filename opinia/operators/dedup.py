@@ -90,16 +90,21 @@ def dedup_cross_page(df: DataFrame, scope: list[str], order: list[str],
 
 
 def dedup_two_pass(df: DataFrame, order: list[str], scope: list[str] | None = None) -> DataFrame:
-    """First row per review id, then first row per content key."""
+    """First row per review id, then first row per content key.
+
+    The key is computed before either pass, so texts that the caller does not ask for end
+    there and cross no shuffle.
+    """
     scope = scope or []
-    by_id = keep_first(df, [*scope, "review_id"], order) if "review_id" in df.columns else df
 
     def column(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit("")
 
     key = content_key(*[column(c) for c in (
         "review_title", "review_body", "reviewer_name", "review_date", "rating", "variant")])
-    return keep_first(by_id.withColumn("_key", key), [*scope, "_key"], order).drop("_key")
+    keyed = df.withColumn("_key", key)
+    by_id = keep_first(keyed, [*scope, "review_id"], order) if "review_id" in df.columns else keyed
+    return keep_first(by_id, [*scope, "_key"], order).drop("_key")
 
 
 def dedup_metrics(before: DataFrame, after: DataFrame) -> DataFrame:

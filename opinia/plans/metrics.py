@@ -31,8 +31,7 @@ def page_runs(extracted: DataFrame, kept: DataFrame, saved: DataFrame | None = N
     """
     keys = run_keys(extracted)
     at = [*keys, "page"]
-    counts = _per_page(kept, "reviews_parsed", at)
-    stored = _per_page(kept if saved is None else saved, "saved", at)
+    counts = _per_page(kept, saved, at)
     pages = extracted.select(
         *at,
         F.round((F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6, 2)
@@ -48,7 +47,7 @@ def page_runs(extracted: DataFrame, kept: DataFrame, saved: DataFrame | None = N
                 "product_global_review_count": F.col("_product")},
     ).drop("_header", "_product")
     return (
-        _left_on(_left_on(carried, counts, at), stored, at)
+        _left_on(carried, counts, at)
         .select(*at,
                 F.coalesce("reviews_parsed", F.lit(0)).alias("reviews_parsed"),
                 F.coalesce("saved", F.lit(0)).alias("saved"),
@@ -217,8 +216,13 @@ def batch_progress(items: DataFrame, order: list[str], bucket: Column) -> DataFr
         .cast("int"))
 
 
-def _per_page(reviews: DataFrame, name: str, at: list[str]) -> DataFrame:
-    return reviews.groupBy(*at).agg(F.count("*").alias(name))
+def _per_page(kept: DataFrame, saved: DataFrame | None, at: list[str]) -> DataFrame:
+    """Kept and saved reviews per page, in one grouping."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = kept.select(*at, one.alias("k"), (one if saved is None else none).alias("s"))
+    if saved is not None:
+        rows = rows.unionByName(saved.select(*at, none.alias("k"), one.alias("s")))
+    return rows.groupBy(*at).agg(F.sum("k").alias("reviews_parsed"), F.sum("s").alias("saved"))
 
 
 def _left_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
