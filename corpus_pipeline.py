@@ -4,6 +4,10 @@ Every stage reads all that the one before it kept and returns the columns of
 `documents`; the last returns the digests of every document and its place in the mix.  The two dedup stages
 give every row a key of its own and keep one row of each group, so rows that share a
 doc_id, or have none, are judged by their texts.
+
+Defined results: NULL and empty texts are equal to each other and one of them stays; texts
+of any length pass whole; other columns of the input, whatever their names, come through all
+stages but the last; without labels nothing counts as toxic; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,20 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinia.llm import bpe_codec, exact_dedup, simhash_dedup, source_mixing, toxicity
-from opinia.llm.common import cut, table
+from opinia.llm.common import cut, table, unused
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a written key of their own, `_row`."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a written key of their own, and its name, which no other column has."""
+    key = unused(docs, "_row")
+    return cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def _one_per_group(keyed: DataFrame, found: DataFrame, group: str) -> DataFrame:
-    """Of the rows of each group, the one with the smallest doc_id; missing ones come last, ties go by `_row`."""
-    groups = found.select(F.col("doc_id").alias("_row"), F.col(group).alias("_group"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = keyed.select("_row", "doc_id").join(groups, "_row").groupBy("_group").agg(F.min(order)["_row"].alias("_row"))
-    return keyed.join(first, "_row", "left_semi").drop("_row")
+def _one_per_group(keyed: DataFrame, key: str, found: DataFrame, group: str) -> DataFrame:
+    """Of the rows of each group, the one with the smallest doc_id; missing ones come last, ties go by the key."""
+    narrow = keyed.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
+    groups = found.select(F.col("doc_id").alias("row"), F.col(group).alias("group"))
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    first = narrow.join(groups, "row").groupBy("group").agg(F.min(order)["row"].alias(key))
+    return keyed.join(first, key, "left_semi").drop(key)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +43,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest doc_id."""
-    keyed = _keyed(docs)
-    found = exact_dedup.exact_dedup(keyed, exact_dedup.arrived_before(keyed), id_column="_row")
-    return _one_per_group(keyed, found, "keep_id")
+    keyed, key = _keyed(docs)
+    found = exact_dedup.exact_dedup(keyed, exact_dedup.arrived_before(keyed), id_column=key)
+    return _one_per_group(keyed, key, found, "keep_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id."""
-    keyed = _keyed(docs)
-    return _one_per_group(keyed, simhash_dedup.simhash_dedup(keyed, id_column="_row"), "component_id")
+    keyed, key = _keyed(docs)
+    return _one_per_group(keyed, key, simhash_dedup.simhash_dedup(keyed, id_column=key), "component_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinia.sources.scratch import reliable_checkpoint, scratch_path
 
-__all__ = ["bounded_batches", "crc32_sql", "cut", "in_small_batches", "numbers", "reliable_checkpoint", "resident", "table"]
+__all__ = ["bounded_batches", "crc32_sql", "cut", "in_small_batches", "numbers", "reliable_checkpoint", "resident", "table", "unused"]
 
 
 #: Rows of an Arrow batch of texts.
@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame has it (case does not tell columns apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them from there.
 

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinia.llm.common import cut, table
+from opinia.llm.common import cut, table, unused
 from opinia.operators.ranking import ordinal
 
 BLOCK_ROWS = 64
@@ -154,11 +154,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str = "doc_id",
                    source_column: str = "source") -> DataFrame:
     """All rows and columns of a table, laid out along the mix (partitions, then rows)."""
+    own = {name: unused(docs, name) for name in ("_mix_id", "_mix_source", "_mix_at")}
     at = mix(docs, weights, id_column=id_column, source_column=source_column).select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("position").alias("_mix_at"))
-    same = docs[id_column].cast("long").eqNullSafe(at["_mix_id"]) & docs[source_column].eqNullSafe(at["_mix_source"])
+        *[F.col(c).alias(own[n]) for c, n in (("doc_id", "_mix_id"), ("source", "_mix_source"), ("position", "_mix_at"))])
+    same = docs[id_column].cast("long").eqNullSafe(at[own["_mix_id"]]) & docs[source_column].cast("string").eqNullSafe(
+        at[own["_mix_source"]])
     placed = docs.join(at, same)
-    return placed.repartitionByRange("_mix_at").sortWithinPartitions("_mix_at").drop("_mix_id", "_mix_source", "_mix_at")
+    return placed.repartitionByRange(own["_mix_at"]).sortWithinPartitions(own["_mix_at"]).drop(*own.values())
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

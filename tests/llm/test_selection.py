@@ -200,7 +200,7 @@ def test_queries_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
     found = QUERIES[name](spark, "/root/testdata/sf0.01")
     columns = sorted(found.columns)
@@ -209,4 +209,24 @@ def test_queries_against_sql(spark, name):
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
+
+
+def test_stages_with_clashing_columns_long_texts_and_nothing(spark, edge):
+    rows = [(i, text, f"s{i % 3}" if i else None) for i, text in [
+        (1, "same text here"), (2, "same  text here"), (2, "same  text here"), (None, "same text here"),
+        (3, None), (4, ""), (5, "long words and lines.\n" * 20_000), (6, "x"), (7, "x"), (7, "another one")]]
+    docs = spark.createDataFrame([(*r, "en", 1, 7, "g", 2.5, True) for r in rows],
+                                 "doc_id long, text string, source string, lang string, n_chars long, "
+                                 "_row long, _group string, _mix_at double, `_MIX_id` boolean")
+    for frame in (docs.repartition(3), docs.filter("false")):
+        expected = frame.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, ROOT)
+            assert frame.columns == expected
+            assert all((r._row, r._group, r._mix_at) == (7, "g", 2.5) for r in frame.collect())
+        kept = sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+        left = corpus_pipeline.encode(spark, frame, ROOT).collect()
+        assert len(left) == len(kept)
+        if kept:
+            assert {i for i, _ in kept} == {1, 3, 5, 6, 7} and len(kept) == 5
