@@ -48,7 +48,8 @@ KERNEL = (0.25, 0.5, 0.25)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(script|style|noscript|template|textarea|title|iframe|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
+    # A tag ends at the latest before a quote that is not closed, or with the page: no part is scanned twice.
+    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=[\"'])|\Z)", re.I | re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¡¿]")
 
@@ -73,20 +74,82 @@ NAMES = frozenset(
     "social-links related related-posts related-articles recommended recommendations widget widgets widget-area comment "
     "comments commentlist comment-list comments-area comments-section comment-form user-comments reader-comments reply "
     "replies disqus disqus-thread respond pagination pager search search-form searchform form hidden".split())
+#: Names that say the same after the part of the page they belong to, as in `site-sidebar`.
+PARTS = "site page main blog post article entry left right user reader primary secondary".split()
+PARTED = "sidebar comments discussion thread menu nav footer newsletter related widgets ads share".split()
+NAMES |= {"discussion", "discussion-thread", "comment-thread", *(f"{part}-{name}" for part in PARTS for name in PARTED)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
 #: Elements whose classes and ids say nothing.
 UNNAMED = HEADINGS | ARTICLE | {"body", "html"}
 
 
+class Paths:
+    """Tag paths as numbers: a path is its parent and a tag, 0 is the empty one; parents come first."""
+
+    def __init__(self) -> None:
+        self.parent = [0]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def step(self, path: int, tag: str) -> int:
+        found = self._known.setdefault((path, tag), len(self.parent))
+        if found == len(self.parent):
+            self.parent.append(path)
+        return found
+
+
+class Open:
+    """The open elements of a page, with what is asked of them kept up to date."""
+
+    def __init__(self) -> None:
+        self.paths = Paths()
+        self.tags: list[str] = []
+        self.heights: dict[str, list[int]] = defaultdict(list)  # of every tag, from the outside
+        self.scopes = [-1]  # heights of elements that close nothing outside them
+        self._at = [(0, 0)]  # the path with and without inline elements
+
+    def push(self, tag: str) -> None:
+        path, blocks = self._at[-1]
+        self.heights[tag].append(len(self.tags))
+        if tag in SCOPES:
+            self.scopes.append(len(self.tags))
+        self._at.append((self.paths.step(path, tag), blocks if tag in INLINE else self.paths.step(blocks, tag)))
+        self.tags.append(tag)
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self._at.pop()
+        self.heights[tag].pop()
+        if tag in SCOPES:
+            self.scopes.pop()
+        return tag
+
+    def last(self, tag: str) -> int:
+        """The height of the innermost such element, or -1."""
+        held = self.heights.get(tag)
+        return held[-1] if held else -1
+
+    def any_of(self, tags: frozenset[str]) -> bool:
+        return any(self.heights.get(t) for t in tags)
+
+    @property
+    def path(self) -> int:
+        return self._at[-1][0]
+
+    @property
+    def around(self) -> int:
+        """The path of blocks around the innermost block."""
+        return self.paths.parent[self._at[-1][1]]
+
+
 class Node:
     """A run of text of one block, where it stands, and what of it are links."""
 
     __slots__ = ("text", "path", "parent", "links", "inside", "heading", "named", "form")
 
-    def __init__(self, text: str, path: str, parent: str, links: int, inside: bool, heading: bool, named: bool,
+    def __init__(self, text: str, path: int, parent: int, links: int, inside: bool, heading: bool, named: bool,
                  form: int) -> None:
-        self.text, self.path, self.parent = text, path, parent
+        self.text, self.path, self.parent = text, (False, path), (False, parent)
         self.links, self.inside, self.heading = links, inside, heading
         self.named, self.form = named, form
 
@@ -115,10 +178,13 @@ def _named(tag: str, attributes: str, inside: bool) -> bool:
                for name, *values in ATTRIBUTE.findall(attributes))
 
 
-def text_nodes(source: str, everything: bool = False) -> list[Node]:
-    """The text nodes of a page that may be content, or all of them, in order, one per block."""
+def text_nodes(source: str, everything: bool = False) -> tuple[list[Node], Paths]:
+    """The text nodes of a page that may be content, or all of them, in order, one per block, and their paths.
+
+    Takes time in proportion to the page, however deep it is nested or wherever it breaks off.
+    """
     nodes: list[Node] = []
-    stack: list[str] = []  # open elements
+    stack = Open()
     dead = 0  # height of the stack at the element that is left out, or 0
     named = 0  # the same for the outermost element with a telling name
     form = 0  # and for the outermost form
@@ -131,19 +197,18 @@ def text_nodes(source: str, everything: bool = False) -> list[Node]:
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            blocks = [t for t in stack if t not in INLINE]
-            nodes.append(Node(text, "/".join(stack), "/".join(blocks[:-1]), min(links, len(text)),
-                              not ARTICLE.isdisjoint(stack), not HEADINGS.isdisjoint(stack), named > 0,
-                              forms if form else 0))
+            nodes.append(Node(text, stack.path, stack.around, min(links, len(text)), stack.any_of(ARTICLE),
+                              stack.any_of(HEADINGS), named > 0, forms if form else 0))
         links = 0
 
     def close(height: int) -> None:
         nonlocal dead, named, form
-        if any(t not in INLINE for t in stack[height:]):
+        if any(t not in INLINE for t in stack.tags[height:]):
             flush()
         elif named > height:  # an inline element with a name is a node of its own
             flush()
-        del stack[height:]
+        while len(stack.tags) > height:
+            stack.pop()
         if dead > height:
             dead = 0
         if named > height:
@@ -155,7 +220,7 @@ def text_nodes(source: str, everything: bool = False) -> list[Node]:
         nonlocal links
         if text and not dead:
             pieces.append(text)
-            if "a" in stack:
+            if stack.last("a") >= 0:
                 links += len(text)
 
     at = 0
@@ -168,43 +233,39 @@ def text_nodes(source: str, everything: bool = False) -> list[Node]:
             continue
         tag, ending = token.group(3).lower(), token.group(2)
         if ending:
-            if tag in stack:
-                close(len(stack) - 1 - stack[::-1].index(tag))
+            if stack.last(tag) >= 0:
+                close(stack.last(tag))
             elif tag in ("p", "br") and not dead:
                 flush()
             continue
         if tag not in INLINE:
             if not dead:
                 flush()
-            if tag not in VOID and "p" in stack:  # a block ends an open paragraph
-                height = len(stack) - 1 - stack[::-1].index("p")
-                if SCOPES.isdisjoint(stack[height:]):
-                    close(height)
+            if tag not in VOID and stack.last("p") > stack.scopes[-1]:  # a block ends an open paragraph
+                close(stack.last("p"))
             for kind in ENDS.get(tag, ()):
-                if kind in stack:
-                    height = len(stack) - 1 - stack[::-1].index(kind)
-                    if SCOPES.isdisjoint(stack[height + 1:]):
-                        close(height)
+                if stack.last(kind) >= max(0, stack.scopes[-1]):
+                    close(stack.last(kind))
         if tag in VOID or token.group(4).endswith("/") and tag not in SCOPES and tag != "p":
             continue
-        stack.append(tag)
+        inside = stack.any_of(ARTICLE)
+        stack.push(tag)
         if dead:
             continue
-        inside = not ARTICLE.isdisjoint(stack[:-1])
         if tag in NO_TEXT if everything else _left_out(tag, token.group(4), inside):
             flush()
-            dead = len(stack)
+            dead = len(stack.tags)
         elif not named and _named(tag, token.group(4), inside):
             stack.pop()
             flush()
-            stack.append(tag)
-            named = len(stack)
+            stack.push(tag)
+            named = len(stack.tags)
         if tag == "form" and not form:
             forms += 1
-            form = len(stack)
+            form = len(stack.tags)
     keep(source[at:])
     flush()
-    return weighed(nodes)
+    return weighed(nodes), stack.paths
 
 
 def weighed(nodes: list[Node]) -> list[Node]:
@@ -216,13 +277,13 @@ def weighed(nodes: list[Node]) -> list[Node]:
     for n in nodes:
         n.named = n.named or n.form > 0 and 2 * sizes[n.form] <= total
         if n.named:
-            n.path, n.parent = "!" + n.path, "!" + n.parent
+            n.path, n.parent = (True, n.path[1]), (True, n.parent[1])
     return nodes
 
 
-def path_ratios(nodes: list[Node]) -> dict[str, float]:
+def path_ratios(nodes: list[Node]) -> dict[tuple, float]:
     """The fused ratio of every path."""
-    sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(4))
+    sums: dict[tuple, np.ndarray] = defaultdict(lambda: np.zeros(4))
     marked = any(n.inside for n in nodes)
     prior = {}
     for n in nodes:
@@ -232,13 +293,13 @@ def path_ratios(nodes: list[Node]) -> dict[str, float]:
             for path, (count, size, marks, links) in sums.items()}
 
 
-def smoothed(nodes: list[Node], ratios: dict[str, float]) -> dict[str, float]:
+def smoothed(nodes: list[Node], ratios: dict[tuple, float]) -> dict[tuple, float]:
     """Path values after smoothing along the page, averaged over the nodes of a path."""
     values = np.array([ratios[n.path] for n in nodes])
     held = np.pad(values, 1, mode="edge")
     values = KERNEL[0] * held[:-2] + KERNEL[1] * held[1:-1] + KERNEL[2] * held[2:]
     marked = any(n.inside for n in nodes)
-    found: dict[str, list[float]] = defaultdict(list)
+    found: dict[tuple, list[float]] = defaultdict(list)
     for n, value in zip(nodes, values, strict=True):
         weight = (1.0 if n.inside or not marked else OUTSIDE) * (NAMED if n.named else 1.0)  # not from neighbours
         weight *= 1 - n.links / len(n.text)
@@ -248,14 +309,18 @@ def smoothed(nodes: list[Node], ratios: dict[str, float]) -> dict[str, float]:
 
 def main_text(source: str) -> str:
     """The text of the chosen nodes, joined by single spaces."""
-    nodes = text_nodes(source) or text_nodes(source, everything=True)
+    nodes, paths = text_nodes(source)
+    if not nodes:
+        nodes, paths = text_nodes(source, everything=True)
     if not nodes:
         return ""
     values = smoothed(nodes, path_ratios(nodes))
     least = THRESHOLD * max(values.values())
     chosen = np.array([values[n.path] >= least and values[n.path] > 0 for n in nodes])
-    parents = {n.parent for n, c in zip(nodes, chosen, strict=True) if c}
-    held = [any(n.parent == p or n.parent.startswith(p + "/") for p in parents) for n in nodes]
+    within = {n.parent for n, c in zip(nodes, chosen, strict=True) if c}
+    for path, above in enumerate(paths.parent):  # parents first: what is below a chosen block is within it
+        within.update((named, path) for named in (False, True) if above and (named, above) in within)
+    held = [n.parent in within for n in nodes]
     first, last = np.flatnonzero(chosen)[[0, -1]] if chosen.any() else (0, -1)
     marked = any(n.inside for n in nodes)
     return " ".join(

@@ -1,5 +1,6 @@
 """URL rules, HTML extraction and language ID."""
 
+import time
 import random
 
 import pytest
@@ -136,3 +137,38 @@ def test_host_settles_a_short_text(spark):
     found = {r.page_id: r.lang for r in lang_id.identify(
         spark.createDataFrame(rows, "page_id long, url string, html string"), lang_id.train(docs)).collect()}
     assert (found[50], found[51], found[0], found[100]) == ("de", "en", "de", "en")
+
+
+PROSE = "This paragraph, long enough to be read, says something; it goes on, as prose does, for a while. " * 3
+
+
+@pytest.mark.parametrize("block", ['<section class="discussion-thread">{}</section>', '<div class="post-comments">{}</div>'])
+def test_reader_comments_inside_the_article(block):
+    comments = block.format("<p>I disagree, as one does, with all of it.</p>" * 4)
+    page = f"<html><body><article><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>{comments}</article></body></html>"
+    assert "disagree" not in html_text.main_text(page) and "Title" in html_text.main_text(page)
+
+
+def test_sidebar_beside_the_post():
+    page = (f'<body><div class="wrap has-sidebar"><div class="post"><p>{PROSE}</p><p>{PROSE}</p></div>'
+            f'<div class="site-sidebar"><p>Aside, {PROSE}</p></div></div></body>')
+    assert "Aside" not in html_text.main_text(page) and "says something" in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<a ", '<a "', "<p><td>y", "<li>z", "<b>w", "<!--", "<script ", "</div>", "<p class='"])
+def test_time_grows_with_the_page_only(piece):
+    def seconds(times):
+        source = f"<ul><p>{piece * times}"
+        start = time.perf_counter()
+        html_text.main_text(source)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)  # ten times the page; a square would take a hundred times as long
+
+
+def test_paths_are_those_of_the_open_elements():
+    nodes, paths = html_text.text_nodes("<body><div>a<p>b<i>c</i></p></div><div><p>d</p></div><section><p>e</p></section></body>")
+    found = {n.text: (n.path, n.parent) for n in nodes}
+    assert found["bc"][0] == found["d"][0] != found["e"][0]
+    assert paths.parent[found["d"][0][1]] == found["d"][1][1] == found["a"][0][1]
