@@ -1,22 +1,22 @@
-"""Language of pages by fusing text, declared language and a prior of suffix, domain and host.
+"""Language of pages by fusing text, declared language, address suffix and a prior of domain and host.
 
 The text likelihood is multinomial over hashed byte trigrams, learnt from labelled
-documents.  A page's text and markup (`<html lang>`, content-language) are
-conditionally independent given its language:
+documents.  A page's text, markup (`<html lang>`, content-language) and address suffix are
+taken as independent evidence given its language:
 
-    log P(l | page) = log P(l | host) + log P(text | l) + log P(declared | l) + constant
+    log P(l | page) = log P(l | host) + log P(text | l) + log P(declared | l) + log P(suffix | l) + constant
 
-P(declared | l) comes from a grouped aggregation of the text posteriors, smoothed
-towards the marginal.  The address suffix is no evidence of its own: it is the top level
-of the prior below, and weighs little on hosts with many pages.  P(l | host) is smoothed from level to
-level: all pages, address suffix, registered domain, host; each level adds the soft
-counts of its group to `PRIOR_WEIGHT` times the prior of the level above.  A page's
-own text is taken out of its group's counts, so it is not used twice.
+P(declared | l) and P(suffix | l) come from grouped aggregations of the text posteriors,
+smoothed towards the marginal.  P(l | host) is smoothed from level to level: all pages,
+registered domain, host; each level adds the soft counts of its group to `PRIOR_WEIGHT`
+times the prior of the level above.  The suffix is no level of it, or it would count twice.
+A page's own text is taken out of its group's counts, so it is not used twice.
 
 Trigrams of a text are far from independent, so the text likelihood is tempered to
 that of `TEXT_WEIGHT` independent ones at most.  Groups are aggregated partially before
 the shuffle; a host that owns a third of the pages is one row per task.  What the driver
-collects is the trigram table (languages x `BINS`).
+collects is the trigram table, of `TABLE_ENTRIES` at most: there may be any number of
+languages, and with many of them trigrams share wider bins.
 
 Defined results: NULL html and urls give no evidence; unknown declared languages
 become "other"; without labelled documents every page has lang NULL and
@@ -42,7 +42,8 @@ BINS = 1 << 15
 TEXT_WEIGHT = 60.0
 PRIOR_WEIGHT = 4.0
 SMOOTHING = 0.5
-MAX_LANGUAGES = 200
+#: Entries of the trigram table; with more languages than fit at `BINS`, neighbouring bins are added up.
+TABLE_ENTRIES = 1 << 23
 COUNTS = "lang string, bin int, n long"
 
 
@@ -72,11 +73,16 @@ def train(docs: DataFrame, lang_column: str = "lang", text_column: str = "text")
     """Languages in order and the log likelihood of every bin, from all labelled texts."""
     labelled = docs.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).dropna()
     counted = in_small_batches(labelled).mapInArrow(_counted, COUNTS).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    rows = counted.limit(MAX_LANGUAGES * BINS + 1).toPandas()
+    counted = cut(counted, "trigrams")
+    size = counted.select("lang").distinct().count()
+    bins = BINS
+    while size * bins > TABLE_ENTRIES and bins > 1:
+        bins //= 2
+    folded = counted.groupBy("lang", F.floor(F.col("bin") / (BINS // bins)).cast("int").alias("bin")).agg(
+        F.sum("n").alias("n"))
+    rows = folded.toPandas()  # bounded: TABLE_ENTRIES
     langs = sorted(rows["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.full((len(langs), BINS), SMOOTHING)
+    counts = np.full((len(langs), bins), SMOOTHING)
     counts[np.searchsorted(langs, rows["lang"]) if langs else [], rows["bin"]] += rows["n"]
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -84,6 +90,8 @@ def train(docs: DataFrame, lang_column: str = "lang", text_column: str = "text")
 def text_scores(text: str, table_: np.ndarray) -> np.ndarray:
     """Tempered log likelihood of a text in every language, 0 for the best."""
     bins = trigram_bins(text)
+    if len(table_) and table_.shape[1] < BINS:
+        bins //= np.uint32(BINS // table_.shape[1])
     if not len(bins) or not len(table_):
         return np.zeros(len(table_))
     total = np.zeros(len(table_))
@@ -159,8 +167,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_column: s
     by_declared = _sums(rows, ["declared"], size, "declared_n")
 
     less = lambda name: _zip(name, "p", lambda n, p: F.greatest(n - p, F.lit(0.0)))
-    level = _smoothed(less("suffix_n"), base)
-    level = _smoothed(less("domain_n"), level)
+    level = _smoothed(less("domain_n"), base)
     prior = _smoothed(less("host_n"), level)
 
     def evidence(name: str) -> Column:
@@ -169,7 +176,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_column: s
         return _zip(share, base, lambda s, b: F.log(s / b))
 
     known = rows.join(by_suffix, "suffix").join(by_domain, "domain").join(by_host, "host").join(by_declared, "declared")
-    parts = [F.col("text"), F.transform(prior, lambda x: F.log(x)), evidence("declared_n")]
+    parts = [F.col("text"), F.transform(prior, lambda x: F.log(x)), evidence("declared_n"), evidence("suffix_n")]
     fused = parts[0]
     for part in parts[1:]:
         fused = _zip(fused, part, lambda a, b: a + b)

@@ -172,3 +172,61 @@ def test_paths_are_those_of_the_open_elements():
     found = {n.text: (n.path, n.parent) for n in nodes}
     assert found["bc"][0] == found["d"][0] != found["e"][0]
     assert paths.parent[found["d"][0][1]] == found["d"][1][1] == found["a"][0][1]
+
+
+def test_many_languages(spark, monkeypatch):
+    """Any number of languages; beyond the size of the table, trigrams share bins."""
+    monkeypatch.setattr(lang_id, "TABLE_ENTRIES", 300 << 9)
+    draw = random.Random(2)
+    words = {f"l{i}": ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(300)}
+    docs = spark.createDataFrame([(" ".join(draw.choices(w, k=60)), lang) for lang, w in words.items() for _ in range(2)],
+                                 "text string, lang string")
+    langs, likelihood = lang_id.train(docs)
+    assert len(langs) == 300 and likelihood.shape == (300, 512)
+    assert sum(langs[int(lang_id.text_scores(" ".join(draw.choices(w, k=60)), likelihood).argmax())] == lang
+               for lang, w in words.items()) > 290
+
+
+def test_fusion_against_plain_arithmetic(spark):
+    """Posteriors of a few pages recomputed by hand from text likelihood, declared language, suffix and the chain of priors."""
+    import numpy as np
+
+    draw = random.Random(3)
+    words = {"de": "und der die nicht ist".split(), "en": "the and of not is".split(), "fr": "le et des pas est".split()}
+    docs = spark.createDataFrame([(" ".join(draw.choices(w, k=80)), lang) for lang, w in words.items() for _ in range(5)],
+                                 "text string, lang string")
+    rows = []
+    for i in range(60):
+        lang = draw.choice(list(words))
+        host = draw.choice(["a.x.de", "b.x.de", "y.com", "z.fr", ""])
+        text = " ".join(draw.choices(words[lang], k=draw.choice([0, 2, 40])))
+        declared = draw.choice(["", f' lang="{lang}"', ' lang="en-GB"', " lang=xx"])
+        rows.append((i, f"http://{host}/p" if host else None, f"<html{declared}><body><p>{text}.</p></body></html>"))
+    model = lang_id.train(docs)
+    langs, likelihood = model
+    found = {r.page_id: r for r in lang_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    pages = []
+    for i, url, source in rows:
+        host = (url or "http://").split("//")[1].split("/")[0]
+        said = source[5:source.index(">")].replace(' lang=', "").strip('"')[:2]
+        text = lang_id.text_scores(html_text.main_text(source), likelihood)
+        pages.append({"host": host, "suffix": host.split(".")[-1], "domain": ".".join(host.split(".")[-2:]),
+                      "declared": said if said in ("", *langs) else "other", "text": text, "p": softmax(text)})
+    base = sum(p["p"] for p in pages) + lang_id.SMOOTHING
+    base = base / base.sum()
+    for i, page in enumerate(pages):
+        def level(key, prior):
+            counts = np.maximum(sum(q["p"] for q in pages if q[key] == page[key]) - page["p"], 0)
+            return (counts + lang_id.PRIOR_WEIGHT * prior) / (counts.sum() + lang_id.PRIOR_WEIGHT)
+
+        prior = level("host", level("domain", base))
+        evidence = np.log(level("declared", base) / base) + np.log(level("suffix", base) / base)
+        fused = softmax(page["text"] + np.log(prior) + evidence)
+        assert found[i].declared == page["declared"] and found[i].host == page["host"]
+        assert abs(found[i].confidence - fused.max()) < 1e-6
+        assert found[i].lang == langs[int(fused.argmax())] or abs(np.sort(fused)[-1] - np.sort(fused)[-2]) < 1e-9
