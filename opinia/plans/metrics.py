@@ -198,12 +198,16 @@ def running_progress(runs: DataFrame, max_pages: int, keys: list[str] = RUN,
     bucket = F.floor(F.col(seq) / PAGE_BUCKET) if bucket is None else bucket
     done = running(runs, keys, bucket, [seq], sums={"saved_so_far": F.col("saved")},
                    lasts={"known_total": known})
+    return done.withColumn("percent", percent_done(max_pages))
+
+
+def percent_done(max_pages: int) -> Column:
+    """Of `saved_so_far` against `known_total`, or of `page` against the pages asked; halves round to even."""
     by_reviews = F.col("saved_so_far") / F.col("known_total")
     by_pages = F.col("page") / F.lit(max(1, max_pages))
     share = F.when(F.col("known_total").isNotNull(), by_reviews).otherwise(by_pages)
-    # Halves round to even.
     percent = F.least(F.lit(100.0), F.bround(share * 100))
-    return done.withColumn("percent", F.greatest(F.lit(0), percent.cast("int")))
+    return F.greatest(F.lit(0), percent.cast("int"))
 
 
 def batch_progress(items: DataFrame, order: list[str], bucket: Column) -> DataFrame:

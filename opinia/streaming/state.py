@@ -1,7 +1,8 @@
 """The greedy rule as state per run: pages are decided in their order, whatever order they arrive in.
 
 The state of a run lies in the state store (RocksDB): the next page to decide, the keys
-kept so far, and pages that wait for an earlier one.  A micro-batch reads and writes only
+kept so far, how many reviews were kept and the first total that a page announced, and pages
+that wait for an earlier one.  A micro-batch reads and writes only
 the keys of its own pages, so its cost does not grow with the stream.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FIRST_PAGE = 1
 #: A page as it goes through the state: facts and reviews are JSON.
-PAGE_STATE = "run string, page int, facts string, reviews string"
+PAGE_STATE = "run string, page int, facts string, reviews string, kept_so_far long, header_total long"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,6 +33,7 @@ class GreedyRule(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "page int")
         self.seen = handle.getMapState("seen", "key string", "page int")
+        self.totals = handle.getValueState("totals", "kept long, header long")
         self.waiting = handle.getMapState("waiting", "page int", "facts string, reviews string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -43,6 +45,7 @@ class GreedyRule(StatefulProcessor):
                 if page >= first and (page not in arrived or captured > arrived[page][0]):
                     arrived[int(page)] = (captured, facts, reviews)
         decided, at, known = [], first, {}
+        kept_so_far, header = self.totals.get() if self.totals.exists() else (0, None)
         while True:
             if at in arrived:
                 _, facts, reviews = arrived.pop(at)
@@ -53,15 +56,20 @@ class GreedyRule(StatefulProcessor):
                 self.waiting.removeKey((at,))
             else:
                 break
-            decided.append((key[0], at, facts, self._kept(at, reviews, known)))
+            kept = self._kept(at, reviews, known)
+            kept_so_far += len(kept)
+            header = json.loads(facts).get("header") if header is None else header
+            decided.append((key[0], at, facts, json.dumps(kept, ensure_ascii=False), kept_so_far, header))
             at += 1
         for page, (_, facts, reviews) in arrived.items():
             self.waiting.updateValue((page,), (facts, reviews))
         if at > first:
             self.next.update((at,))
-        yield pd.DataFrame(decided, columns=["run", "page", "facts", "reviews"])
+            self.totals.update((kept_so_far, header))
+        rows = pd.DataFrame(decided, columns=["run", "page", "facts", "reviews", "kept_so_far", "header_total"])
+        yield rows.astype({"header_total": "Int64"})
 
-    def _kept(self, page: int, reviews: str, known: dict[str, bool]) -> str:
+    def _kept(self, page: int, reviews: str, known: dict[str, bool]) -> list[dict]:
         kept = []
         for row in json.loads(reviews):
             keys = ["c" + row["pair"]] + (["i" + row["review_id"]] if row.get("review_id") else [])
@@ -73,7 +81,7 @@ class GreedyRule(StatefulProcessor):
                 for k in keys:
                     known[k] = True
                     self.seen.updateValue((k,), (page,))
-        return json.dumps(kept, ensure_ascii=False)
+        return kept
 
     def close(self) -> None:
         pass

@@ -94,6 +94,18 @@ def test_any_order_of_arrival_gives_the_batch_result(spark, tmp_path, files_per_
     assert got == greedy(places)
 
 
+def test_progress_of_late_pages(spark, tmp_path):
+    total = '<div data-hook="cr-filter-info-review-count">{}</div>'
+    source, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    found = [(1, block("R1", "a") + block("R2", "b")), (2, total.format(8) + block("R3", "c") + block("R1", "d")),
+             (3, "captcha"), (4, total.format(99) + block("R4", "e") + block("R5", "f"))]
+    for some in ([found[3]], [found[1], found[2]], [found[0]]):
+        pages(spark, *some).write.mode("append").parquet(source)
+        streams.stream_progress(streams.read_page_stream(spark, source, 1), out, state, 5).awaitTermination()
+    rows = sorted((r.page, r.saved_so_far, r.known_total, r.percent) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, 2, None, 20), (2, 3, 8, 38), (4, 5, 8, 62)]
+
+
 def test_failed_pages_in_their_narrow_form(spark):
     rows = spark.createDataFrame([("ok", None, 1), ("ok", "ValueError: x", 2)], "status string, error string, page int")
     (row,) = streams.failed(rows.withColumn("duration_s", F.lit(1.5))).collect()

@@ -782,6 +782,12 @@ def oracle_sql() -> dict[str, str]:
       SELECT asin, review_id, review_title, rating, review_date, '2024-05-06 07:08:09' AS created_at,
         '2024-05-06 07:08:09' AS updated_at FROM written"""
     o["stream_dedup_shuffled"] = o["stream_dedup"]
+    o["stream_progress"] = f"""WITH p AS ({o['page_runs']}), s AS (SELECT asin, page,
+        sum(saved) OVER (PARTITION BY asin ORDER BY page ROWS UNBOUNDED PRECEDING) AS saved_so_far,
+        total_reviews_header AS known_total FROM p)
+      SELECT asin, page, CAST(saved_so_far AS BIGINT) AS saved_so_far, known_total, CAST(least(100, round_even(
+        CASE WHEN known_total IS NOT NULL THEN saved_so_far / known_total ELSE page / 5 END * 100, 0)) AS INT)
+        AS percent FROM s"""
     o["stream_quarantine"] = f"""WITH {RAW}, {paged('raw')}, {PAGE_FACTS} SELECT asin, page,
       CASE WHEN marker BETWEEN 20 AND 25 THEN 'login' ELSE 'challenge' END AS status
       FROM page_facts WHERE NOT {USABLE}"""

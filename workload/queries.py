@@ -853,3 +853,12 @@ def stream_metrics(spark, sf_dir):
     out, state = scratch_path(spark, "metrics"), scratch_path(spark, "state")
     _arrivals(spark, sf_dir, lambda s: streams.stream_metrics(s, out, state))
     return streams.stream_recap(spark, out)
+
+
+@query
+def stream_progress(spark, sf_dir):
+    """Progress of every run as its pages are decided; the last pages arrive first."""
+    out, state = scratch_path(spark, "progress"), scratch_path(spark, "state")
+    _arrivals(spark, sf_dir, lambda s: streams.stream_progress(s, out, state, DEFAULT_MAX_PAGES),
+              parts=("page > 3", "page = 2", "page IN (1, 3)"))
+    return spark.read.parquet(out).select("asin", "page", "saved_so_far", "known_total", "percent")
