@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinia.operators.dedup import dedup_two_pass
 from opinia.operators.ranking import keep_first
 from opinia.operators.records import coerce_defaults, conform, storable
 from opinia.plans.maintenance import migrate_titles, title_changes, upsert
@@ -130,6 +131,22 @@ def write_rows(rows: DataFrame, path: str, fmt: str) -> str | None:
     return None if rows.isEmpty() else _write(rows, path, fmt)
 
 
+def write_unique(rows: DataFrame, path: str, fmt: str, order: list[str | Column],
+                 scope: list[str] | None = None) -> dict[str, int]:
+    """Write the rows that the two-pass rule keeps; how many came in, stayed and went, counted on the way.
+
+    Rows are evaluated once: both counts are observed by the job that writes.
+    """
+    if rows.isEmpty():  # the optimizer may drop all of an empty plan, its counts included
+        _write(rows, path, fmt)
+        return {"rows_before": 0, "rows_after": 0, "removed": 0}
+    before, after = Observation("before"), Observation("after")
+    unique = dedup_two_pass(rows.observe(before, F.count(F.lit(1)).alias("rows")), order, scope)
+    _write(unique.observe(after, F.count(F.lit(1)).alias("rows")), path, fmt)
+    came, stayed = before.get["rows"], after.get["rows"]
+    return {"rows_before": came, "rows_after": stayed, "removed": came - stayed}
+
+
 def _write(rows: DataFrame, path: str, fmt: str) -> str:
     if not path.endswith(f".{fmt}"):
         path = f"{path}.{fmt}"

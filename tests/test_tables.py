@@ -341,3 +341,13 @@ def test_newest_run_by_its_folder(spark, tmp_path):
     sinks.write_run(df.filter("n = 6"), path)
     assert [tuple(r) for r in sinks.last_run(spark, path).select("n", "run_id").collect()] == [(6, "2024-03 a/x")]
     assert spark.read.parquet(path).count() == 5
+
+
+def test_counts_of_the_write_itself(spark, tmp_path):
+    rows = [review(rid="R1"), review(rid="R1", review_title="again"), review(rid="R2"), review("C", "R2"), review(rid=None)]
+    path = str(tmp_path / "out")
+    counts = sinks.write_unique(reviews(spark, *rows), path, "parquet", ["asin", "review_title"])
+    assert counts["rows_before"] == 5 and counts["rows_after"] == spark.read.parquet(f"{path}.parquet").count()
+    assert counts["removed"] == 5 - counts["rows_after"] > 0
+    assert sinks.write_unique(reviews(spark).filter("false"), path, "csv", ["asin"]) == {
+        "rows_before": 0, "rows_after": 0, "removed": 0}

@@ -390,6 +390,13 @@ def dedup_metrics(spark, sf_dir):
         derive.table(spark, sf_dir, "lineitem"), _two_pass(spark, sf_dir))
 
 
+@query
+def dedup_metrics_written(spark, sf_dir):
+    """As `dedup_metrics`, counted by the job that writes the rows."""
+    counts = sinks.write_unique(derive.typed(spark, sf_dir), scratch_path(spark, "unique"), "parquet", ORD, ["asin"])
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
+
+
 @query
 def insert_if_absent(spark, sf_dir):
     rows = derive.typed(spark, sf_dir)
