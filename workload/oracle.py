@@ -571,6 +571,9 @@ def oracle_sql() -> dict[str, str]:
     o["dedup_two_pass"] = f"WITH {TYPED}, {TWO_PASS} SELECT {KEY}, {REVIEW} FROM pass2"
     o["dedup_metrics"] = f"""WITH {TYPED}, {TWO_PASS} SELECT a AS rows_before, b AS rows_after,
       a - b AS removed FROM (SELECT count(*) AS a FROM typed), (SELECT count(*) AS b FROM pass2)"""
+    o["failed_products"] = f"""WITH {EVENTS} SELECT asin, CAST(0 AS BIGINT) AS total_reviews, 0 AS total_pages,
+      CAST(1 AS BIGINT) AS error_count, false AS success, arg_min(coalesce(error, ''), page) AS message
+      FROM runs GROUP BY asin, domain, star_filter HAVING arg_min(coalesce(error, ''), page) <> ''"""
     o["dedup_metrics_written"] = o["dedup_metrics"]
     o["insert_if_absent"] = f"""WITH {TYPED}, {first('fresh', 'typed', 'review_id', ORD)}
       SELECT {KEY}, review_id FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM typed t

@@ -517,6 +517,14 @@ def failures(spark, sf_dir):
     return metrics.failures(derive.event_runs(spark, sf_dir))
 
 
+@query
+def failed_products(spark, sf_dir):
+    """Runs whose first page could not be read: zero statistics and its message; the batch goes on."""
+    lost = derive.event_runs(spark, sf_dir).groupBy(*metrics.RUN).agg(
+        F.min_by("error", "page").alias("message")).filter("message IS NOT NULL")
+    return lost.select(F.inline(F.array(metrics.failed_run(c("asin"), c("message")))))
+
+
 @query
 def page_details(spark, sf_dir):
     return metrics.page_details(derive.event_runs(spark, sf_dir).drop("event_id"))
