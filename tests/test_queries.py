@@ -21,7 +21,9 @@ QUICK = [
     "merged_stats", "progress_running", "import_alias_dedup", "append_to_table",
     "product_quality", "stream_ingest", "stream_metrics", "dedup_cross_page_hot", "ingest_existing",
     "migrate_titles_limited", "upsert_reviews", "export_ndjson", "export_product_limit",
-    "extract_fallback", "has_next_forms", "ingest_runs",
+    "extract_fallback", "has_next_forms", "ingest_runs", "import_csv_split", "crawl_frontier",
+    "last_run_export", "migrate_table", "ingest_tranches", "header_total_forms", "failed_products",
+    "latest_of_product", "union_missing_cols", "dedup_metrics_written", "stream_quarantine",
 ]
 
 
