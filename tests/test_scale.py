@@ -1,9 +1,13 @@
 """Queries and derived inputs on small tables of their own: odd rows, what is moved, what is stored."""
 
 import datetime
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from opinia.operators.ranking import running
+from workload import derive
 from workload.queries import QUERIES
 
 LINE = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
@@ -29,6 +33,62 @@ def tables(spark, tmp_path):
 
 
 
+def stored_files(spark):
+    return sum(len(files) for _, _, files in os.walk(derive.scratch_path(spark, "x").rpartition("/")[0].removeprefix("file:")))
+
+
+def test_running_moves_rows_once(spark):
+    """The window and the join with the offsets share one exchange of the rows."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("seq"), F.lit(1).alias("wide"))
+        plan = running(rows, ["k"], F.floor(F.col("seq") / 10), ["seq"], sums={"n": F.lit(1)})
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Rows by key and bucket; sums by key and bucket, by key, and back to their buckets.
+    assert text.count("Exchange hashpartitioning") == 4, text
+
+
+def test_running_nulls_and_totals(spark):
+    rows = spark.createDataFrame([(None, None, 1), (None, None, 2), (None, 3, 3), ("a", None, 4), ("a", 12, 5)],
+                                 "k string, seq int, n int")
+    got = running(rows, ["k"], F.floor(F.col("seq") / 10), ["seq", "n"], sums={"so_far": F.col("n")},
+                  totals={"of": F.col("n")})
+    assert sorted((r["n"], r["so_far"], r["of"]) for r in got.collect()) == [
+        (1, 1, 6), (2, 3, 6), (3, 6, 6), (4, 4, 9), (5, 9, 9)]
+
+
+def test_derived_pages_are_not_stored(spark, tables):
+    sf_dir = tables([line(1, 7), line(2, 7), line(3, 8)], [(7, "n", "t"), (8, "m", "t")], [(1, "first")])
+    before = stored_files(spark)
+    assert derive.captured_pages(spark, sf_dir).count() == 2
+    assert derive.raw_reviews(spark, sf_dir).count() == 3
+    assert stored_files(spark) == before
+
+
+def test_texts_belong_to_the_first_orders(spark, tables):
+    """Copies of a part multiply its lines; the null order takes a text that no line gets."""
+    sf_dir = tables([line(None, 7), line(5, 7), line(6, 7), line(9, 8), line(9, 7, 2)],
+                    [(7, "seven", "t"), (7, "seven", "t"), (8, "eight", "t")], [(None, "zero"), (4, "four"), (4, "four")])
+    got = sorted((str(r["l_orderkey"]), r["body"].partition("\x1f")[0]) for r in derive.raw_reviews(spark, sf_dir).collect())
+    seven, eight = "Avis:\tseven  t\nlot 2", "Avis:\teight  t\nlot 2"
+    assert got == sorted([("None", seven)] * 2 + [("5", "Avis:\tfour")] * 2 + [("6", "Avis:\tfour")] * 2
+                         + [("9", eight)] + [("9", seven)] * 2)
+
+
+def test_pages_know_whether_another_follows(spark, tables):
+    lines = [line(i, 7) for i in range(11)] + [line(i, 8) for i in range(10)] + [line(i, None) for i in range(12)]
+    sf_dir = tables(lines, [(7, "n", "t"), (8, "m", "t")], [])
+    got = {(r["asin"], r["page"]): "pageNumber=" in r["html"].partition("a-pagination")[2]
+           for r in derive.captured_pages(spark, sf_dir).filter("html IS NOT NULL").collect()}
+    assert got == {("B000000007", 1): True, ("B000000007", 2): False, ("B000000008", 1): False,
+                   (None, 1): False}
+
+
 def test_export_of_a_product_without_reviews(spark, tables):
     """Nothing is written, and nothing comes back."""
     sf_dir = tables([line(1, 8)], [(8, "m", "t")], [(1, "text")])
