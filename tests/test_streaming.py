@@ -10,6 +10,7 @@ from opinia.operators.records import conform
 from opinia.schema import PAGES
 from opinia.sources import readers, sinks
 from opinia.streaming import pages as streams
+from opinia.streaming import state
 
 
 def block(rid, title):
@@ -121,3 +122,45 @@ def test_replayed_batch_overwrites_itself(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
     assert streams.earlier(spark, path, 1).count() == 3
     assert streams.earlier(spark, path, 0).count() == 0
+
+
+class FakeState:
+    """List and map state of one run, with the number of single calls."""
+
+    def __init__(self):
+        self.rows, self.map, self.calls = [], {}, 0
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.map
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+
+def test_keys_of_a_run_are_read_and_written_at_once(monkeypatch):
+    """A list up to its limit, one by one beyond it; a run without a list goes on in its map."""
+    monkeypatch.setattr(state, "LISTED_KEYS", 5)
+    fake = FakeState()
+    for begun, keys, calls in ((False, "abcd", 0), (True, "abef", 1), (True, "fgag", 4)):
+        held = state._Keys(fake, fake, begun)
+        for key in keys:
+            if not held.holds(key):
+                held.add(key, 1)
+        held.store()
+        assert fake.calls == calls, begun
+    assert [k for k, in fake.rows] == list("abcde") and sorted(fake.map) == [("f",), ("g",)]
+    old = FakeState()
+    old.map = {("a",): 1}
+    held = state._Keys(old, old, True)
+    assert held.holds("a") and not held.holds("b")
+    held.add("b", 2)
+    held.store()
+    assert not old.rows and ("b",) in old.map
