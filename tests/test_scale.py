@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinia.operators.ranking import running
+from opinia.sources import csv_blocks
 from workload import derive
 from workload.queries import QUERIES
 
@@ -94,3 +95,19 @@ def test_export_of_a_product_without_reviews(spark, tables):
     sf_dir = tables([line(1, 8)], [(8, "m", "t")], [(1, "text")])
     got = QUERIES["export_product_limit"](spark, sf_dir)
     assert got.columns == ["asin", "review_id", "review_date", "rating", "columns"] and got.count() == 0
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_csv_records_stay_where_they_are(spark, tmp_path):
+    """Only tables of one row per split are joined to records."""
+    (tmp_path / "a.csv").write_text('id,title\n1,"two\nlines"\n2,x\n', encoding="utf-8")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = csv_blocks.read_records(spark, str(tmp_path))
+        assert "SortMergeJoin" not in executed(records) and records.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
