@@ -120,10 +120,10 @@ def export_reviews(reviews: DataFrame, path: str, fmt: str, asin: str | None = N
         raise ValueError(f"invalid product code {asin!r}")
     first = [c for c in REVIEWS.fieldNames() if c in reviews.columns]
     reviews = reviews.select(*first, *[c for c in reviews.columns if c not in first])
-    rows = reviews_for_product(reviews, asin, limit) if asin else all_reviews(reviews, limit)
-    # Emptiness is a matter of the unsorted rows; asking the sorted ones would sort twice.
-    empty = reviews.filter(F.col("asin") == asin) if asin else reviews
-    return None if empty.isEmpty() else _write(rows, path, fmt)
+    # Run the input once: the emptiness test, the sample of the sort and the sort read it.
+    chosen = written(reviews.filter(F.col("asin") == asin) if asin else reviews, "export")
+    rows = reviews_for_product(chosen, asin, limit) if asin else all_reviews(chosen, limit)
+    return None if chosen.isEmpty() else _write(rows, path, fmt)
 
 
 def write_rows(rows: DataFrame, path: str, fmt: str) -> str | None:
@@ -193,4 +193,5 @@ def export_last_run(spark: SparkSession, path: str, out: str, fmt: str, order: l
                     run: str = "run_id") -> str | None:
     """Export the newest run, deduplicated and in sentiment order; None when there is no run or no row."""
     rows = last_run(spark, path, run)
-    return None if rows is None else write_rows(quality_view(rows, order), out, fmt)
+    # The view keeps a row of any rows there are, so the files of the run tell whether it is empty.
+    return None if rows is None or rows.isEmpty() else _write(quality_view(rows, order), out, fmt)

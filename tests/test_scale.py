@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinia.operators.ranking import running
-from opinia.sources import csv_blocks
+from opinia.sources import csv_blocks, sinks
 from workload import derive
 from workload.queries import QUERIES
 
@@ -111,3 +111,39 @@ def test_csv_records_stay_where_they_are(spark, tmp_path):
         assert "SortMergeJoin" not in executed(records) and records.count() == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def counted(spark, rows):
+    """The rows, and how many of them were evaluated so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def see(_):
+        seen.add(1)
+        return True
+
+    return rows.filter(see("review_id")), seen
+
+
+def test_exports_evaluate_their_rows_once(spark, tmp_path, monkeypatch):
+    plain = spark.range(50).select(
+        F.format_string("R%02d", "id").alias("review_id"), F.lit("B000000007").alias("asin"), F.lit("t").alias("review_title"),
+        F.lit("b").alias("review_body"), F.lit(4.0).alias("rating"), F.lit("2024-01-01").alias("review_date"),
+        F.timestamp_seconds("id").alias("created_at"), F.lit("r1").alias("run_id"))
+    rows, seen = counted(spark, plain)
+    path = sinks.export_reviews(rows, str(tmp_path / "all"), "parquet")
+    assert seen.value == 50 and spark.read.parquet(path).count() == 50
+    assert sinks.export_reviews(rows, str(tmp_path / "none"), "csv", "B000000008") is None
+
+    sinks.write_run(plain, str(tmp_path / "runs"))
+    views = []
+    view = sinks.quality_view
+
+    def counting(*args):
+        shown, seen = counted(spark, view(*args).limit(50))
+        views.append(seen)
+        return shown
+
+    monkeypatch.setattr(sinks, "quality_view", counting)
+    out = sinks.export_last_run(spark, str(tmp_path / "runs"), str(tmp_path / "last"), "parquet", ["created_at"])
+    assert spark.read.parquet(out).count() == 1 and [v.value for v in views] == [1]
