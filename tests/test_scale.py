@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from opinia.operators import dedup
 from opinia.operators.ranking import running
 from opinia.sources import csv_blocks, sinks
 from workload import derive
@@ -101,6 +102,42 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+REVIEWED = "asin string, page int, pos int, review_id string, review_title string, review_body string"
+
+
+def test_page_rules_move_no_texts(spark):
+    """Both in-page rules compare hashes made before the first exchange."""
+    rows = spark.createDataFrame([
+        ("A", 1, 0, "R1", "t", "b"), ("A", 1, 1, "R1", "other", "b"), ("A", 1, 2, "R2", "t", " b\n"), ("A", 1, 3, None, "u", None),
+        ("A", 2, 0, "R1", "t", "b"), (None, 1, 0, "", None, None), (None, 1, 1, "R4", "", "")], REVIEWED)
+    got = dedup.dedup_page(rows, ["asin"])
+    same = dedup.dedup_page_content(dedup.dedup_page_id(rows, ["asin"]), ["asin"])
+    assert got.columns == same.columns and sorted(map(str, got.collect())) == sorted(map(str, same.collect()))
+    moved = executed(got.select("asin", "page", "pos", "review_id")).rpartition("Exchange")[0]
+    assert "Exchange" in moved and "review_body" not in moved
+
+
+def test_keys_move_as_bytes(spark):
+    rows = spark.createDataFrame([], REVIEWED)
+    assert "unhex" in executed(dedup.dedup_two_pass(rows, ["pos"], ["asin"])).rpartition("Exchange")[2]
+    assert dict(rows.withColumn("p", dedup._pair()).dtypes)["p"] == "binary"
+
+
+def test_paged_rows_are_those_of_placed_typed_rows(spark, tables):
+    lines = [line(i % 9, 7 + i % 2, 1 + i % 7, 0.01 * (i % 3)) for i in range(30)] + [line(None, None)]
+    sf_dir = tables(lines, [(7, "seven", "t"), (7, "seven", "t"), (8, "eight", "t")], [(1, "one"), (2, "two"), (3, None)])
+    got, plain = derive.paged(spark, sf_dir), derive.with_pages(derive.typed(spark, sf_dir))
+    assert sorted(got.columns) == sorted(plain.columns)
+    # Repeated parts make repeated lines, whose order is open: compare what does not depend on it.
+    wanted = [c for c in plain.columns if c not in ("page", "pos")]
+    assert sorted(map(str, got.select(wanted).collect())) == sorted(map(str, plain.select(wanted).collect()))
+    assert sorted(map(str, got.select("asin", "page", "pos").collect())) == sorted(
+        map(str, plain.select("asin", "page", "pos").collect()))
+    shuffled = executed(got.filter("pos = 0").select("review_body"))
+    depths = {name: [len(found) - len(found.lstrip(" :+-")) for found in shuffled.splitlines() if name in found] for name in ("review_body", "Window [")}
+    assert max(depths["review_body"]) < min(depths["Window ["])
+
+
 def test_csv_records_stay_where_they_are(spark, tmp_path):
     """Only tables of one row per split are joined to records."""
     (tmp_path / "a.csv").write_text('id,title\n1,"two\nlines"\n2,x\n', encoding="utf-8")
