@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from opinia.functions import dates
 from opinia.operators import dedup
 from opinia.operators.ranking import running
 from opinia.sources import csv_blocks, sinks
@@ -184,3 +185,16 @@ def test_exports_evaluate_their_rows_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "quality_view", counting)
     out = sinks.export_last_run(spark, str(tmp_path / "runs"), str(tmp_path / "last"), "parquet", ["created_at"])
     assert spark.read.parquet(out).count() == 1 and [v.value for v in views] == [1]
+
+
+def test_date_patterns_run_on_texts_that_can_match(spark):
+    """Signs decide which patterns run; texts with and without them read as before."""
+    shown = {"le 1er mai 2024": "2024-05-01", "1ER Mai 2024 x": "2024-05-01", "3 mai 2024, 1er juin 2024": "2024-05-03",
+             "Reviewed on 5 March 2024": "2024-03-05", "March 5, 2024": "2024-03-05", "5 de marzo de 2024": "2024-03-05",
+             "5. März 2024": "2024-03-05", "5/3/2024": "2024-03-05", "2024-3-5": "2024-03-05", "5.3.2024": "2024-03-05",
+             "31 février 2024": "2024-02-31", "": None, "de, le / -": None, None: None}
+    rows = spark.createDataFrame(list(shown.items()), "text string, want string")
+    read = rows.select("text", "want", dates.normalize_date(F.col("text")).alias("got"))
+    assert [(r["text"], r["got"]) for r in read.collect()] == list(shown.items())
+    plan = executed(read)
+    assert all(f", {sign})" in plan for sign in ("1er", "le", "/", "-", "de"))
