@@ -139,6 +139,17 @@ def test_paged_rows_are_those_of_placed_typed_rows(spark, tables):
     assert max(depths["review_body"]) < min(depths["Window ["])
 
 
+def test_lines_of_a_product_are_moved_to_their_pages_once(spark, tables):
+    lines = [line(i % 9, 7 + i % 2, 1 + i % 7, 0.01 * (i % 3)) for i in range(48)] + [line(5, None), line(None, None)]
+    sf_dir = tables(lines, [(7, "seven", "t"), (8, "eight", "t")], [(1, "one"), (2, "two"), (2, "two"), (3, None)])
+    small = derive.captured_pages(spark, sf_dir)
+    assert "Exchange" not in executed(small).partition("Window [")[0]
+    some = ["asin", "domain", "star_filter", "page", "url", "started_at", "finished_at"]
+    rows = [sorted(map(str, pages.select(*some, F.length("html")).collect()))
+            for pages in (small, derive._captured_pages(spark, sf_dir, 10), derive._captured_pages(spark, sf_dir, 0))]
+    assert len(rows[0]) == 7 and rows[0] == rows[1] == rows[2]
+
+
 def test_csv_records_stay_where_they_are(spark, tmp_path):
     """Only tables of one row per split are joined to records."""
     (tmp_path / "a.csv").write_text('id,title\n1,"two\nlines"\n2,x\n', encoding="utf-8")
