@@ -118,6 +118,21 @@ def test_page_rules_move_no_texts(spark):
     assert "Exchange" in moved and "review_body" not in moved
 
 
+def test_short_runs_have_their_keys_moved_once(spark, monkeypatch):
+    rows = spark.createDataFrame([
+        ("A", 1, 0, "R1", "t", "b"), ("A", 1, 1, "R1", "t", "b"), ("A", 2, 0, "R2", "t", "b"), ("A", 2, 1, "R2", "u", ""),
+        ("A", 3, 0, None, "u", ""), ("A", 3, 1, "", "v", None), ("A", 3, 2, None, "v", ""), (None, 1, 0, "R1", "t", "b"),
+        (None, 1, 1, None, "t", "b"), ("B", 1, 0, "R1", None, None)], REVIEWED)
+    wanted = [["A", 1, 0], ["A", 2, 1], ["A", 3, 1], ["B", 1, 0], ["None", 1, 0]]
+    passes = []
+    plain = dedup._ordered_pass
+    monkeypatch.setattr(dedup, "_ordered_pass", lambda df, *how: passes.append(executed(df)) or plain(df, *how))
+    for group_rows in (100, 7, 6, 1):
+        got = dedup.dedup_cross_page(rows, ["asin"], ["page", "pos"], group_rows)
+        assert sorted([str(r["asin"]), r["page"], r["pos"]] for r in got.collect()) == wanted
+    assert "Exchange" not in passes[0] and "Exchange" not in passes[1] and "Exchange" in passes[2]
+
+
 def test_keys_move_as_bytes(spark):
     rows = spark.createDataFrame([], REVIEWED)
     assert "unhex" in executed(dedup.dedup_two_pass(rows, ["pos"], ["asin"])).rpartition("Exchange")[2]
