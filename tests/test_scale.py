@@ -6,10 +6,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from opinia.functions import dates
+from opinia.functions import dates, ratings, text
 from opinia.operators import dedup
 from opinia.operators.ranking import running
+from opinia.operators.records import conform
+from opinia.schema import PAGES
 from opinia.sources import csv_blocks, sinks
+from opinia.streaming import pages as streams
 from workload import derive
 from workload.queries import QUERIES
 
@@ -224,3 +227,16 @@ def test_date_patterns_run_on_texts_that_can_match(spark):
     assert [(r["text"], r["got"]) for r in read.collect()] == list(shown.items())
     plan = executed(read)
     assert all(f", {sign})" in plan for sign in ("1er", "le", "/", "-", "de"))
+
+
+def test_short_texts_are_read_once(spark):
+    """A number, or the groups of a date, found once is not looked for again; signs decide which patterns run."""
+    shown = {"4,5 sur 5 étoiles": 4.5, "4 sur 5": 4.0, "9,5 sur 5, 3 sur 5": None, "4.0 out of 5 stars": 4.0, "3": 3.0, "3,0": 3.0,
+             "3.0\n": 3.0, "9.5": None, "12 sur 5": None, "sur 5": None, "": None, None: None}
+    votes = {"12 personnes ont trouvé cela utile": 12, "3: 4 people found this helpful": 4, "a 7 utile": 7, "1,2": 1,
+             "utile": 0, "99999999999": 0, "": 0, None: 0}
+    for texts, read, most in ((shown, ratings.normalize_rating, 6), (votes, text.normalize_helpful_votes, 8),
+                              (dict.fromkeys(shown), dates.normalize_date, 40)):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", read(F.col("text")).alias("got"))
+        assert {r["text"]: r["got"] for r in rows.collect()} == texts
+        assert executed(rows).count("regexp_extract(") <= most
