@@ -240,3 +240,28 @@ def test_short_texts_are_read_once(spark):
         rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", read(F.col("text")).alias("got"))
         assert {r["text"]: r["got"] for r in rows.collect()} == texts
         assert executed(rows).count("regexp_extract(") <= most
+
+
+def test_append_evaluates_records_once(spark, tmp_path):
+    """The storage checks do not evaluate the texts again; of an id, the first row that fits is stored."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def see(title):
+        seen.add(1)
+        return title
+
+    path = str(tmp_path / "reviews")
+    sinks.ensure_reviews_table(spark, path)
+    long = "t" * 600
+    plain = conform(spark.createDataFrame(
+        [("A", "R1", long, 1), ("A", "R1", "second", 2), ("A", "R1", "third", 3), ("A", "R2", long, 1), (None, "R3", "x", 1),
+         ("A", None, "x", 1), ("A", "R4", None, 2), ("A", "R4", "later", 3)], "asin string, review_id string, review_title string, n int").withColumn(
+        "created_at", F.timestamp_seconds("n")))
+    assert sinks.append_reviews(plain.withColumn("review_title", see("review_title")), path, ["created_at"]) == 2
+    assert seen.value == 8
+    assert sinks.append_reviews(plain, path, ["created_at"]) == 0
+    assert sinks.append_reviews(plain.withColumn("review_id", F.concat("review_id", F.lit("x"))).unionByName(plain), path, ["created_at"]) == 2
+    assert sinks.append_reviews(plain.filter("false"), path, ["created_at"]) == 0
+    stored = sorted((r["review_id"], r["review_title"]) for r in spark.read.parquet(path).collect())
+    assert stored == [("R1", "second"), ("R1x", "second"), ("R4", None), ("R4x", None)]
