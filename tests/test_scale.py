@@ -265,3 +265,20 @@ def test_append_evaluates_records_once(spark, tmp_path):
     assert sinks.append_reviews(plain.filter("false"), path, ["created_at"]) == 0
     stored = sorted((r["review_id"], r["review_title"]) for r in spark.read.parquet(path).collect())
     assert stored == [("R1", "second"), ("R1x", "second"), ("R4", None), ("R4x", None)]
+
+
+def test_rows_in_between_are_compressed_columns(spark, tmp_path):
+    """Batches that an append, an upsert or a micro-batch reads again lie in its scratch space as compressed columns."""
+    def scratch(name):
+        folder = derive.scratch_path(spark, "x").rpartition("/")[0].removeprefix("file:")
+        return {f for f in os.listdir(folder) if f.startswith(f"{name}-")}
+
+    before = {name: scratch(name) for name in ("ready", "decided")}
+    table, source = str(tmp_path / "reviews"), str(tmp_path / "src")
+    sinks.ensure_reviews_table(spark, table)
+    page = '<div data-hook="review"><a data-hook="review-title" href="/reviews/R1">t</a></div>'
+    spark.createDataFrame([("A", None, None, 1, "u", page, None, None, None)], PAGES).write.parquet(source)
+    streams.stream_ingest(streams.read_page_stream(spark, source), table, str(tmp_path / "rejects"),
+                          str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(table).count() == 1
+    assert {name: len(scratch(name) - before[name]) for name in before} == {"ready": 1, "decided": 1}
