@@ -1,5 +1,8 @@
 """Pages are triaged where they are read, and bodies are cleaned once."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from opinia.functions import pages as page_functions
@@ -7,6 +10,7 @@ from opinia.functions.text import canonical_review_id, content_pair, strip_ratin
 from opinia.operators import dedup, extract
 from opinia.plans.ingest import paired_reviews, parse_pages
 from opinia.schema import PAGES
+from workload import derive
 
 REVIEW = '<div data-hook="review"><b data-hook="review-title">5 sur 5 étoiles Bon\t{0}</b><p data-hook="review-body">a \n {0}</p></div>'
 
@@ -52,3 +56,34 @@ def test_cross_page_rule_takes_given_pairs(spark):
     given = dedup.dedup_cross_page(rows.withColumn("pair", dedup._pair()), ["asin"], ["page", "pos"], pair="pair")
     assert given.columns == rows.columns
     assert sorted(r["page"] for r in given.collect()) == sorted(r["page"] for r in plain.collect()) == [1, 3]
+
+
+def test_both_rules_of_a_page_move_rows_once(spark):
+    rng = random.Random(4)
+    rows = [(f"A{i % 7}" if i % 11 else None, i % 5 if i % 13 else None, i, rng.choice(["r1", "r2", "r3", "", None]),
+             rng.choice(["t", "u", None]), rng.choice(["b", " b", "c"])) for i in range(600)]
+    table = spark.createDataFrame(
+        rows, "asin string, page int, pos int, review_id string, review_title string, review_body string")
+    found = dedup.dedup_page(table.repartition(3), ["asin"])
+    assert str(found._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+    ids, pairs, expected = set(), set(), set()
+    for asin, page, pos, rid, title, body in rows:
+        if rid is None or (asin, page, rid) in ids:
+            continue
+        ids.add((asin, page, rid))
+        if (asin, page, title or "", body.strip()) not in pairs:
+            pairs.add((asin, page, title or "", body.strip()))
+            expected.add(pos)
+    assert sorted(r["pos"] for r in found.collect()) == sorted(expected)
+    # Rows that are together by run are not moved at all.
+    together = dedup.dedup_page(table.repartition(3, "asin"), ["asin"])
+    assert str(together._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+
+
+def test_placed_records_do_not_depend_on_how_products_are_split(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    whole = derive.paged(spark, sf_dir).collect()
+    monkeypatch.setattr(derive, "PRODUCT_LINES", 30)
+    split = derive.paged(spark, sf_dir)
+    assert not derive._by_size(spark, sf_dir, 30)[1].isEmpty()
+    assert split.columns == derive.paged(spark, sf_dir).columns and Counter(split.collect()) == Counter(whole)
